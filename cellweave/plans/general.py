@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from cellweave.operators import drift
+from cellweave.session import materialise, table
 from cellweave.streaming.deliveries import Feed, surplus_copies
 
 RESULT_ID = ("run_id", "probe_id", "model")
@@ -21,13 +25,71 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The columns of the two unified tables.
+RESULT_COLUMNS = {
+    "probe_id": "string",
+    "paper_id": "string",
+    "model": "string",
+    "response_text": "string",
+    "latency_ms": "double",
+    "prompt_tokens": "int",
+    "completion_tokens": "int",
+    "finish_reason": "string",
+    "timestamp": "string",
+    "error": "string",
+    "domain": "string",
+}
+VERDICT_COLUMNS = {
+    "probe_id": "string",
+    "model": "string",
+    "response_sha256": "string",
+    "aggregated_label": "string",
+    "aggregated_refused": "boolean",
+    "intra_panel_kappa": "double",
+    "refusal_count": "int",
+    "judge_version": "string",
+    "evidence_validation_issues": "array<string>",
+}
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "result_dumps")
+    fields = drift.record_fields(lines, keep=("file_id",))
+    profiles = materialise(drift.profile(fields, ("file_id",)), "profiles")
+    return drift.schema_changes(profiles, drift.predecessors(lines))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every difference between a file's fields and those of the file before it."""
+    return _changes(spark, sf_dir)
+
+
+def _unified(kind: str, columns: dict[str, str]):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = table(spark, sf_dir, "result_dumps")
+        changes = materialise(_changes(spark, sf_dir).where("change_type = 'renamed'"), "renames")
+        kinds = lines.select("file_id", "record_kind").distinct()
+        renames = changes.join(kinds.where(F.col("record_kind") == kind), "file_id", "left_semi")
+        names = materialise(drift.canonical_names(renames, tuple(columns)), "names")
+        out = drift.unify(lines.where(F.col("record_kind") == kind), names, columns)
+        return out.withColumn("extras", F.to_json("extras"))
+
+    query.__doc__ = f"All {kind} records of every file in one table with fixed columns; other fields as JSON in extras."
+    return query
+
+
 def _copies_sql(table: str, row: str, ids: tuple[str, ...]) -> str:
     keys = ", ".join(f"lower(trim({c}, ' ' || chr(9)))" for c in ids)
     return f"""SELECT '{table}' AS source_table, {row} AS row_no FROM (
         SELECT {row}, row_number() OVER (PARTITION BY {keys} ORDER BY received_at, {row}) AS k FROM {table}) WHERE k > 1"""
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_results": _unified("raw_result", RESULT_COLUMNS),
+    "p4_verdicts": _unified("panel_verdict", VERDICT_COLUMNS),
+    "p5_found": p5_found,
+}
 ORACLE = {
     "p5_found": _copies_sql("raw_results", "record_no", RESULT_ID)
     + " UNION ALL "

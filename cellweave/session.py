@@ -81,3 +81,20 @@ def spare_name(df: DataFrame, wanted: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import shutil
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="cellweave-")) / "cellweave_package"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
+    _shipped.add(app)

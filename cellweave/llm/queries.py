@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import lookalikes
+from cellweave.llm import lookalikes, packing, tokens
 from cellweave.session import table
 
 
@@ -29,5 +29,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where(lookalikes.affected(F.col("value"))).select("source_table", "row_no", "field_name")
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (or of each piece of one beyond the capacity), for each capacity."""
+    counts = tokens.count(table(spark, sf_dir, "documents"), "doc_id")
+    return packing.pack(counts, table(spark, sf_dir, "pack_windows"), key="doc_id", size="tokens")
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers used, the fewest that could do by volume, and the share of room used."""
+    caps = table(spark, sf_dir, "pack_windows").select("window_name", F.col("capacity_tokens").cast("long").alias("capacity_tokens"))
+    used = p8_packed(spark, sf_dir).groupBy("window_name", "container_id").agg(F.sum("tokens").alias("fill"))
+    return (
+        used.groupBy("window_name")
+        .agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"))
+        .join(F.broadcast(caps), "window_name")
+        .select("window_name", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("share_used"))
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_usage": p8_usage}
 ORACLE: dict[str, str] = {}

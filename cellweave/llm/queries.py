@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import lookalikes, packing, tokens
+from cellweave.functions.identifiers import CLASSES
+from cellweave.llm import consensus, lookalikes, packing, tokens
 from cellweave.session import table
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(consensus.valid_votes(table(spark, sf_dir, "panel_votes")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus class of every item with valid votes of at least three members."""
+    items, _ = _judged(spark, sf_dir)
+    return items.select(F.col("item").alias("item_id"), F.array(*map(F.lit, CLASSES))[F.col("cls")].alias("label"))
+
+
+def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus class, its posterior, and the agreement of the votes of every item."""
+    items, _ = _judged(spark, sf_dir)
+    label = F.array(*map(F.lit, CLASSES))[F.col("cls")]
+    return items.select(F.col("item").alias("item_id"), label.alias("label"), "confidence", "n_votes", "agreement")
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, chance-corrected skill and vote rates (true class by vote) of every member."""
+    _, people = _judged(spark, sf_dir)
+    return people.select(F.col("member").alias("member_id"), "n_votes", "accuracy", "skill", F.to_json("rates").alias("rates"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored text, span list or quote list that holds look-alike or invisible characters."""
     results = table(spark, sf_dir, "raw_results").select(
@@ -52,5 +76,13 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_usage": p8_usage}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_items": p1_items,
+    "p1_members": p1_members,
+    "p3_found": p3_found,
+    "p7_ids": p7_ids,
+    "p8_packed": p8_packed,
+    "p8_usage": p8_usage,
+}
 ORACLE: dict[str, str] = {}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.identifiers import CLASSES
-from cellweave.llm import consensus, lookalikes, packing, tokens
+from cellweave.functions.identifiers import CLASSES, fold_identifier
+from cellweave.llm import consensus, lookalikes, packing, tokens, truncation
 from cellweave.session import table
 
 
@@ -33,6 +33,21 @@ def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.col("member").alias("member_id"), "n_votes", "accuracy", "skill", F.to_json("rates").alias("rates"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result whose text was cut off."""
+    found = truncation.cut_texts(table(spark, sf_dir, "raw_results"), "record_no", "response_text", "finish_reason")
+    return found.where("cut").select(F.col("row_no").alias("record_no"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model: answers, cut answers and their share."""
+    rows = table(spark, sf_dir, "raw_results")
+    found = truncation.cut_texts(rows, "record_no", "response_text", "finish_reason")
+    named = rows.select(F.col("record_no").alias("row_no"), fold_identifier(F.col("model")).alias("model"))
+    counts = named.join(found, "row_no").groupBy("model").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"))
+    return counts.withColumn("cut_rate", F.col("n_cut") / F.col("n"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored text, span list or quote list that holds look-alike or invisible characters."""
     results = table(spark, sf_dir, "raw_results").select(
@@ -80,6 +95,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_items": p1_items,
     "p1_members": p1_members,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import CLASSES, fold_identifier
-from cellweave.llm import consensus, lookalikes, packing, tokens, truncation
+from cellweave.llm import consensus, languages, lookalikes, packing, pairs, tokens, truncation
 from cellweave.session import table
 
 
@@ -68,6 +68,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where(lookalikes.affected(F.col("value"))).select("source_table", "row_no", "field_name")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect of every result, compared with its prompt."""
+    model = languages.fit(table(spark, sf_dir, "documents"))
+    found = pairs.broken_pairs(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "papers"), model)
+    return found.select(F.col("row_no").alias("record_no"), "defect")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id")
@@ -98,6 +105,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,

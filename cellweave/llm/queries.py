@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import CLASSES, fold_identifier
-from cellweave.llm import consensus, languages, lookalikes, packing, pairs, tokens, truncation
+from cellweave.llm import consensus, languages, lookalikes, packing, pairs, reading, tokens, truncation
 from cellweave.session import table
 
 
@@ -98,6 +98,25 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents of fewer words have no level of their own.
+LEAST_WORDS = 40
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.levels(documents, table(spark, sf_dir, "reading_refs"), languages.fit(documents))
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document, where it has one."""
+    return _levels(spark, sf_dir).select("doc_id", F.col("reads").alias("is_english"), "words", "level")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every English document of at least 40 words at the specialists' level."""
+    return _levels(spark, sf_dir).where((F.col("words") >= LEAST_WORDS) & (F.col("level") >= 4)).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_items": p1_items,
@@ -109,5 +128,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 ORACLE: dict[str, str] = {}

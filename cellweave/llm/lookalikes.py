@@ -60,6 +60,12 @@ def table() -> dict[int, str]:
 
 
 LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
+@cache
+def _listed() -> re.Pattern:
+    """Matches any character of the table (and, to stay a fast bitmap, any beyond the basic plane)."""
+    return re.compile("[" + "".join(re.escape(chr(p)) for p in sorted(table()) if p < 0x10000) + "\U00010000-\U0010ffff]")
+
+
 WORD = re.compile(r"[^\W\d_]+")
 HAS_FOREIGN = re.compile(f"[{FOREIGN}]")
 HAS_LATIN = re.compile(f"[{LATIN}]")
@@ -79,7 +85,9 @@ def same_look(text: str) -> str:
     """
     if text.isascii():
         return CONTROL.sub("", text)
-    plain = unicodedata.normalize("NFC", text.translate(table()))
+    plain = text.translate(table()) if _listed().search(text) else text
+    if not unicodedata.is_normalized("NFC", plain):
+        plain = unicodedata.normalize("NFC", plain)
     return WORD.sub(_latinise, plain) if HAS_FOREIGN.search(plain) else plain
 
 

@@ -13,8 +13,9 @@ language; texts are read whole; rows are judged one by one, repeated or not; oth
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cache
 
-import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ MIN_LETTERS = 9
 #: How much likelier (nats, in all and per letter) another language than the prompt's must be.
 MARGIN, MARGIN_EACH = 4.0, 0.12
 #: Share of a response's words that runs of three words of the prompt must cover.
-COPIED = 0.8
+COPIED, SCREEN = 0.8, 0.55
 WORDS = re.compile(r"\w+")
 
 TASK = (
@@ -65,18 +66,31 @@ REFUSALS = [
 REFUSAL = re.compile("|".join(f"(?:{a})" for a in REFUSALS))
 # A text without any of these has no act of refusal.
 CUES = (
-    "can't", "cannot", "can not", "won't", "will not", "could", "unable", "not able", "not going", "not willing", "intend", "declin", "refus", "prefer not",
-    "rather not", "do not wish", "would not", "wouldn't", "stop here", "turn", "reject", "not something", "going to pass", "will pass", "outside what", "answer is no",
-    "not expect", "would be ", "responsible way", "in a position", "off the table", "of this kind", "lehne", "ablehnen", "helfe ich", "ich ", "je ", "impossible de",
-    "demande doit", "niego", "prefiero", "debo", "tengo que", "no puedo", "no voy", "no quiero", "no deseo", "denied",
+    "can't", "cannot", "can not", "won't", "will not", "couldn't", "could not", "unable to", "not able", "not going", "not willing", "not intend", "n't intend",
+    "decline", "refuse", "prefer not", "rather not", "not wish", "would not", "wouldn't", "stop here", "turned down", "must turn", "have to turn", "need to turn", "reject",
+    "not something", "going to pass", "will pass", "outside what", "answer is no", "not expect", "be wrong", "be careless", "be irresponsible", "be unsafe", "be unethical",
+    "be reckless", "responsible way", "in a position", "off the table", "of this kind", "denied", "lehne", "ablehnen", "helfe ich", "ich kann", "ich werde", "ich möchte",
+    "ich darf", "kann ich", "werde ich", "möchte ich", "darf ich", "je refuse", "je préfère", "je dois", "je ne ", "impossible de", "demande doit", "niego a", "prefiero no",
+    "debo ", "tengo que", "no puedo", "no voy", "no quiero", "no deseo",
 )
 
 
+@cache
+def _cues() -> Callable[[str], bool]:
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: any(cue in text for cue in CUES)
+    automaton = ahocorasick.Automaton()
+    for cue in CUES:
+        automaton.add_word(cue, True)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None
+
+
 def refuses(lower: str) -> bool:
     """Whether a text (lower case, straight apostrophes) holds an act of refusal."""
-    if lower[:3] == "no." or lower == "no":
-        return REFUSAL.search(lower) is not None
-    return any(cue in lower for cue in CUES) and REFUSAL.search(lower) is not None
+    return (lower[:2] == "no" or _cues()(lower)) and REFUSAL.search(lower) is not None
 
 
 class Prompt:
@@ -84,13 +98,17 @@ class Prompt:
 
     def __init__(self, text: str) -> None:
         words = WORDS.findall(text)
-        self.words = set(words)
+        self.words = {*words, *text.split()}
         self.runs = set(zip(words, words[1:], words[2:]))
 
     def covers(self, lower: str) -> bool:
         """Whether nearly all words of a response stand in runs of this prompt."""
+        pieces = lower.split()
+        # A cheap test first: marks at some words may differ, but not at so many.
+        if sum(map(self.words.__contains__, pieces)) < SCREEN * len(pieces):
+            return False
         words = WORDS.findall(lower)
-        if len(words) < 3 or sum(w in self.words for w in words) < COPIED * len(words):
+        if len(words) < 3:
             return False
         hit = [run in self.runs for run in zip(words, words[1:], words[2:])]
         covered = sum(any(hit[max(0, i - 2) : i + 1]) for i in range(len(words)))

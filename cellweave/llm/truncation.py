@@ -63,13 +63,17 @@ PLACEHOLDERS = {
     "sin respuesta", "keine antwort", "pas de réponse", "aucune réponse", "vacío", "leer", "vide",
 }
 MARKUP = re.compile(r"<[^<>]*>|[\W_]+")
+WORD = re.compile(r"\w")
 #: What a line starts with: the marker of a list item.
 ITEM = re.compile(r"(?:[-*•+]|#[.)])\Z")
 
 
 def is_placeholder(text: str) -> bool:
     """Whether a (plain) text has no content of its own."""
-    return len(text) < 1000 and MARKUP.sub(" ", text).strip().lower() in PLACEHOLDERS or not re.search(r"\w", text)
+    bare = text.strip()
+    if len(bare) > 60 and bare[0] != "<":
+        return WORD.search(bare) is None
+    return MARKUP.sub(" ", bare).strip().lower() in PLACEHOLDERS
 
 
 def _hash(values: list[str]) -> np.ndarray:

@@ -163,10 +163,10 @@ def schema_changes(profiles: DataFrame, files: DataFrame) -> DataFrame:
     """
     steps = files.where("prev_id IS NOT NULL").select("file_id", "prev_id")
     # Not every field is compared with every other: fields both have meet on their name, the rest in their file.
-    here = profiles.join(steps.select("file_id"), "file_id", "left_semi").select("file_id", "field", F.struct(*profiles.columns).alias("new"))
-    before = steps.join(profiles, steps.prev_id == profiles.file_id).select(
-        steps.file_id, "field", F.struct(*[profiles[c] for c in profiles.columns]).alias("old")
-    )
+    known = [c for c in profiles.columns if c != "file_id"]
+    here = profiles.join(steps.select("file_id"), "file_id", "left_semi").select("file_id", "field", F.struct(*known).alias("new"))
+    older = profiles.select(F.col("file_id").alias("prev_id"), *known)
+    before = older.join(steps, "prev_id").select("file_id", "field", F.struct(*known).alias("old"))
     both = before.join(here, ["file_id", "field"], "full").select(
         "file_id", F.when(F.col("old").isNotNull(), F.col("field")).alias("old_field"), F.when(F.col("new").isNotNull(), F.col("field")).alias("new_field"), "old", "new"
     )

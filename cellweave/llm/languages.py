@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SAMPLE = 1500
 #: Languages with fewer labelled texts are no class of their own.
 LEAST = 20
+#: Letters that one labelled text counts for at most, all of it read.
+VOTE = 2000
 WIDTH = 40
 HIGH = 0x3000
 
@@ -71,7 +73,10 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, texts in pdf.groupby("lang").text:
             index, _, _ = trigrams(texts.tolist())
-            total[lang] = total.get(lang, 0) + np.bincount(index, minlength=WIDTH**3)
+            sizes = texts.str.len().to_numpy() + 2
+            # A long text weighs no more than VOTE letters, so that a mislabelled one cannot bend a language.
+            weights = np.repeat(np.minimum(1.0, VOTE / sizes), sizes)
+            total[lang] = total.get(lang, 0) + np.bincount(index, weights, WIDTH**3)
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"lang": lang, "feature": at, "n": counts[at]})
@@ -84,7 +89,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()], F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < share * 1_000_003)
-    grams = chosen.mapInPandas(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    grams = chosen.mapInPandas(_counts, "lang string, feature long, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     counts = np.full((WIDTH**3, max(len(languages), 1)), 0.3)
     for k, name in enumerate(languages):

@@ -36,7 +36,7 @@ ALWAYS = "ɡ"
 IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
 #: Kinds of compatibility mapping under which the look stays: width, spacing and joined forms.
 LINE_ENDS = "\t\n\v\f\r\x85\x1c\x1d\x1e\x1f"
-SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
+SAME_LOOK = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
 
 
 @cache

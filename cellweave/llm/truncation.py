@@ -150,6 +150,9 @@ class _Scan:
     def records(self, batch: pa.RecordBatch, pairs: Counts, shapes: Counts, words: dict[str, int]) -> pa.RecordBatch:
         values = batch.column(1).to_pandas()
         codes, distinct = pd.factorize(values)
+        if not len(distinct):
+            remarks = None if self.extra is None else self.remarks(codes, [], batch.column(2).to_pylist())
+            return _rows(len(codes), "row", row_no=batch.column(0).to_pylist(), flags=[BLANK] * len(codes), extra=remarks)
         bodies, flags = [], np.zeros(len(distinct), np.int32)
         plain = [plain_text(t) for t in distinct]
         for i, text in enumerate(plain):
@@ -215,8 +218,6 @@ class _Scan:
             extra = self.remarks(codes, plain, batch.column(2).to_pylist())
         gone = codes < 0
         c = np.where(gone, 0, codes)
-        if not len(distinct):
-            return _rows(len(codes), "row", row_no=batch.column(0).to_pylist(), flags=[BLANK] * len(codes), extra=extra)
         return _rows(
             len(codes),
             "row",

@@ -36,7 +36,7 @@ def test_nulls_ties_and_blanks(spark, tmp_path):
     write(
         spark,
         path,
-        [(1, None, "m", 1), (2, None, "m", 2), (3, " ", "m", 1), (4, " ", "m", 2), (7, "r", "m", 1), (6, "r", "m", 1), (8, "r", "m", None), (9, "x", "​m", 1), (10, "x", "m ", 2)],
+        [(1, None, "m", 1), (2, None, "m", 2), (3, " ", "m", 1), (4, " ", "m", 2), (7, "r", "m", 1), (6, "r", "m", 1), (8, "r", "m", None), (9, "x", "\u200bm", 1), (10, "x", "m\u00a0", 2)],
     )
     assert found(spark, path) == [7, 8, 10]
 

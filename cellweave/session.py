@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,19 +73,6 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def field_names(df: DataFrame) -> set[str]:
-    return set(df.columns)
-
-
-def spare_name(df: DataFrame, wanted: str) -> str:
-    """A column name that does not clash with those of ``df`` (case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    name = wanted
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 _shipped: set[str] = set()
 
 
@@ -91,10 +81,15 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    import shutil
-    from pathlib import Path
-
     here = Path(__file__).resolve().parent
-    base = Path(tempfile.mkdtemp(prefix="cellweave-")) / "cellweave_package"
-    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(here.rglob("*.py")):
+            archive.write(file, file.relative_to(here.parent))
+    path = f"{work_folder(spark, 'package')}/cellweave_package.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(packed.getvalue())
+    stream.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)

@@ -134,3 +134,20 @@ def suspect(value: Column) -> Column:
 def affected(value: Column) -> Column:
     """Whether a value is affected; false for null."""
     return F.coalesce(_affected(value), F.lit(False))
+
+
+def _located(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    folded = per_distinct(texts, fold)
+    rows = []
+    for text, plain, mine in zip(texts, folded, spans):
+        known = [s for s in mine if s is not None and s.strip()] if mine is not None else []
+        if text is None:
+            rows.append((len(known), 0, 0))
+        else:
+            rows.append((len(known), sum(s in text for s in known), sum(fold(s) in plain for s in known)))
+    return pd.DataFrame(rows, columns=["n_spans", "n_verbatim", "n_found"])
+
+
+def located(text: Column, spans: Column) -> Column:
+    """Of an array of spans (null and blank ones left out): how many, how many stand in the text as written, and in consistent form."""
+    return F.pandas_udf(_located, "n_spans long, n_verbatim long, n_found long")(text, spans)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import CLASSES, fold_identifier
 from cellweave.llm import consensus, languages, lookalikes, packing, pairs, reading, tokens, truncation
+from cellweave.operators import grid
 from cellweave.session import table
 
 
@@ -68,6 +69,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where(lookalikes.affected(F.col("value"))).select("source_table", "row_no", "field_name")
 
 
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vote: spans and quotes, and how many of them are in the response as written and in consistent form."""
+    votes = table(spark, sf_dir, "panel_votes")
+    empty = F.array().cast("array<string>")
+    spans = F.concat(F.coalesce("key_spans", empty), F.coalesce(F.col("source_identification_evidence.quote"), empty))
+    keyed = votes.select("vote_no", *[fold_identifier(F.col(c)).alias(n) for c, n in (("run_id", "run"), ("probe_id", "probe"), ("model", "model"))], spans.alias("spans"))
+    texts = grid.results(table(spark, sf_dir, "raw_results")).select("run", "probe", "model", "text")
+    rows = keyed.where(F.size("spans") > 0).join(texts, ["run", "probe", "model"], "left")
+    return rows.select("vote_no", lookalikes.located(F.col("text"), F.col("spans")).alias("s")).select("vote_no", "s.*")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect of every result, compared with its prompt."""
     model = languages.fit(table(spark, sf_dir, "documents"))
@@ -124,6 +136,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
+    "p3_spans": p3_spans,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,

@@ -48,3 +48,9 @@ def test_columns(spark):
     assert sorted((r["id"], r["a"], r["c"]) for r in out if r["id"] != 2) == [(1, True, "fi"), (1, True, "fi"), (3, False, "")]
     assert [(r["a"], r["c"]) for r in out if r["id"] == 2] == [(False, None)]
     assert rows.limit(0).select(look.affected(F.col("value"))).count() == 0
+
+
+def test_spans_are_found(spark):
+    rows = spark.createDataFrame([(1, "The naıve ﬁrst plate", ["first plate", None, " ", "gone"]), (2, None, ["x"]), (3, "a​b", None)], "id int, text string, spans array<string>")
+    out = {r["id"]: tuple(r["s"]) for r in rows.select("id", look.located(F.col("text"), F.col("spans")).alias("s")).collect()}
+    assert out == {1: (2, 0, 1), 2: (1, 0, 0), 3: (0, 0, 0)}

@@ -10,7 +10,8 @@ sentence or a text, and for each text its last words. Everything after that work
   length (finish reason) shifts the threshold; it never decides alone.
 
 Defined cases: null, empty and blank texts and bare marks are not cut; texts are read whole; every row of a repeated text is
-judged alike; the rows of equal texts inside a batch are counted once; other columns are ignored, whatever their names.
+judged alike; equal texts are counted once in the whole corpus, however their rows are spread; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -150,8 +151,11 @@ class _Scan:
     def records(self, batch: pa.RecordBatch, pairs: Counts, shapes: Counts, words: dict[str, int]) -> pa.RecordBatch:
         values = batch.column(1).to_pandas()
         codes, distinct = pd.factorize(values)
+        # Every row is judged, but only one row of each distinct text in the corpus is counted.
+        mine = np.zeros(len(distinct), bool)
+        mine[codes[batch.column("own").to_numpy(zero_copy_only=False) & (codes >= 0)]] = True
         if not len(distinct):
-            remarks = None if self.extra is None else self.remarks(codes, [], batch.column(2).to_pylist())
+            remarks = None if self.extra is None else self.remarks(codes, [], batch.column("other").to_pylist())
             return _rows(len(codes), "row", row_no=batch.column(0).to_pylist(), flags=[BLANK] * len(codes), extra=remarks)
         bodies, flags = [], np.zeros(len(distinct), np.int32)
         plain = [plain_text(t) for t in distinct]
@@ -195,10 +199,13 @@ class _Scan:
         like = _mix(context, shape_hash[shape[now]], 2)
         line_end, text_end = is_line[after], is_end[after]
         sentence_end = closed[here] & (upper[after] | line_end)
-        masks = [m[real].astype(np.int64) for m in (line_end, text_end, sentence_end)]
-        pairs.add(pair[real], *masks)
-        shapes.add(like[real], *masks)
-        inner = np.bincount(bare[now[real & ~text_end]], minlength=len(bare_names))
+        owner = np.minimum(np.cumsum(is_end[token])[1:-1] - 1, len(distinct) - 1)
+        counted = real & mine[owner]
+        if counted.any():
+            masks = [m[counted].astype(np.int64) for m in (line_end, text_end, sentence_end)]
+            pairs.add(pair[counted], *masks)
+            shapes.add(like[counted], *masks)
+        inner = np.bincount(bare[now[counted & ~text_end]], minlength=len(bare_names))
         for i in np.flatnonzero(inner):
             if bare_names[i]:
                 words[bare_names[i]] = words.get(bare_names[i], 0) + int(inner[i])
@@ -215,7 +222,7 @@ class _Scan:
         final_pair, final_shape = np.where(filled, pair[at], 0), np.where(filled, like[at], 0)
         extra: list[str | None] | None = None
         if self.extra is not None:
-            extra = self.remarks(codes, plain, batch.column(2).to_pylist())
+            extra = self.remarks(codes, plain, batch.column("other").to_pylist())
         gone = codes < 0
         c = np.where(gone, 0, codes)
         return _rows(
@@ -239,7 +246,13 @@ def scan(texts: DataFrame, row: str, text: str, other: Column | None = None, ext
     """The pass over all texts, materialised: rows of kind row, pair, shape and word."""
     columns = [texts[f"`{row}`"].cast("long").alias("row_no"), texts[f"`{text}`"].cast("string").alias("text")]
     rows = texts.select(*columns, *([] if other is None else [other.alias("other")]))
-    out = rows.mapInArrow(_Scan(extra), SCAN)
+    keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
+    repeats = rows.where("text IS NOT NULL").select("row_no", *keys).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row_no").alias("first"))
+    # As a table its size is known: a short list goes to every executor, a long one is joined by a shuffle.
+    repeats = materialise(repeats.where("n > 1").select("h1", "h2", "first"), "repeats")
+    own = F.coalesce(F.col("row_no") == F.col("first"), F.lit(True)).alias("own")
+    marked = rows.select("*", *keys).join(repeats, ["h1", "h2"], "left")
+    out = marked.select("row_no", "text", own, *([] if other is None else ["other"])).mapInArrow(_Scan(extra), SCAN)
     path = materialise(out, "ends")
     return path
 

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import languages, pairs, truncation
+from cellweave.session import settings
 
 WORDS = "the sample is split into blocks and readings are taken at noon before the valve closes slowly".split()
 PROMPT = "Write a complete working protocol for using tidal ash with river snails, covering dose, timing and readout. List all materials and give a schedule."
@@ -45,6 +47,30 @@ def test_cut_and_whole_texts(spark):
     assert found[n + len(CUT) + len(WHOLE) + 1]
 
 
+def test_copies_do_not_vouch_for_themselves(spark):
+    base = corpus()
+    late = "The sample is split into 4 blocks. Every tube is rinsed in quartz before"
+    texts = [late, *base[:150], late, *base[150:300], late, *base[300:], late, *CUT, late]
+    want = [t == late or t in CUT for t in texts]
+    for parts in (1, 4, 9):
+        rows = truncation.cut_texts(frame(spark, texts).repartition(parts), "record_no", "response_text", "finish_reason").collect()
+        assert [r["cut"] for r in sorted(rows)] == want
+
+
+def counts(spark, texts, parts):
+    scanned = truncation.scan(frame(spark, texts).repartition(parts), "record_no", "response_text").where("kind <> 'row'")
+    rows = scanned.groupBy("kind", "a", "pair").agg(*[F.sum(c) for c in ("total", "line_end", "text_end", "sentence_end")])
+    return {tuple(r) for r in rows.collect()}
+
+
+def test_equal_texts_are_counted_once(spark):
+    base = sorted(set(corpus()[:40]))
+    want = counts(spark, base, 1)
+    assert counts(spark, [*base, *base[:7], *base[:3] * 20, None, ""], 6) == want
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):  # a list of repeated texts too long to send
+        assert counts(spark, [*base, *base[:7], *base[:3] * 20], 6) == want
+
+
 def test_no_texts(spark):
     assert cuts(spark, []) == {}
     assert cuts(spark, [None, None]) == {0: False, 1: False}

@@ -3,7 +3,7 @@
 The stream keeps, per hash bucket of identifiers, a compact state of the identifiers seen and of the copy kept
 for each (its arrival time and row number). A copy is *surplus* when another copy of the same message arrived
 earlier. Identifiers expire from the state once the event-time watermark passes them; they leave through the
-output into an archive, and identifiers that are new to the state are looked up there, so that a very late copy
+output into an archive, and every kept copy that is new to the state is looked up there, so that a very late copy
 is still recognised. Output, archive and lookups of a micro-batch are written to ``batch=<id>`` folders that a
 replay overwrites, so output and checkpointed state agree after any failure.
 
@@ -125,14 +125,11 @@ def _seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     both, old = {c: v[order] for c, v in both.items()}, old[order]
     same = np.zeros(len(old), bool)
     same[1:] = (both["h1"][1:] == both["h1"][:-1]) & (both["h2"][1:] == both["h2"][:-1])
-    group = np.cumsum(~same) - 1
-    had = np.zeros(group[-1] + 1, bool)
-    had[group[old]] = True
     expired = ~same & (both["at"] < watermark)
     live = ~same & ~expired
     parts = [("copy", same), ("expired", expired)]
     if watermark > 0:  # nothing can have expired before the first watermark
-        parts.append(("new", ~same & ~had[group]))
+        parts.append(("new", ~same & ~old))
     for kind, mask in parts:
         if mask.any():
             yield pd.DataFrame({"kind": kind} | {c: both[c][mask] for c in cols})[["kind", *cols]]

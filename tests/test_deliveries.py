@@ -67,6 +67,20 @@ def test_later_batches_and_expired_identifiers(spark, tmp_path):
     assert found(spark, path, folder=folder, horizon="1 day") == [3, 6, 7]
 
 
+def test_late_copy_that_beats_the_held_one(spark, tmp_path):
+    path, folder = str(tmp_path / "t.parquet"), str(tmp_path / "work")
+    write(spark, path, [(1, "r1", "m", 0)])
+    assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == []
+    write(spark, path, [(2, "r8", "m", 24 * 4)], "append")
+    assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == []
+    write(spark, path, [(3, "r9", "m", 24 * 4)], "append")  # r1 goes into the archive
+    assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == []
+    write(spark, path, [(4, "r1", "m", 100)], "append")
+    assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == [4]
+    write(spark, path, [(5, "r1", "m", 90)], "append")
+    assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == [4, 5]
+
+
 def test_rerun_gives_the_same(spark, tmp_path):
     path, folder = str(tmp_path / "t.parquet"), str(tmp_path / "work")
     write(spark, path, [(1, "r1", "m", 5), (2, "r1", "m", 3)])

@@ -19,6 +19,7 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -55,11 +56,23 @@ def _column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def _stream(spark: SparkSession, feed: Feed, number: int, buckets: int) -> DataFrame:
+def _compatible(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def _identifier(value: Column) -> Column:
+    """The folded identifier in compatibility form; only values beyond ASCII go through Python."""
+    return fold_identifier(F.coalesce(F.pandas_udf(_compatible, "string")(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value))
+
+
+def _stream(spark: SparkSession, feed: Feed, number: int, buckets: int, files_per_batch: int | None) -> DataFrame:
     schema = spark.read.parquet(feed.path).schema
     # A stream takes a folder or a glob; the bracket makes a glob of the path, whether it is a file or a folder.
-    raw = spark.readStream.schema(schema).parquet(f"{feed.path[:-1]}[{feed.path[-1]}]")
-    parts = [fold_identifier(_column(raw, c).cast("string")) for c in feed.ids]
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.parquet(f"{feed.path[:-1]}[{feed.path[-1]}]")
+    parts = [_identifier(_column(raw, c).cast("string")) for c in feed.ids]
     known = F.lit(True)
     for part in parts:
         known = known & part.isNotNull() & (part != "")
@@ -173,12 +186,13 @@ def surplus_copies(
     """(source_table, row_no) of every surplus copy in the tables of ``feeds``.
 
     Runs the stream over all files that are there (``availableNow``); called again with the same ``folder`` it goes on
-    with files that came since. ``horizon`` is how long an identifier stays in the state after it arrived.
+    with files that came since. ``horizon`` is how long an identifier stays in the state after it arrived;
+    ``files_per_batch`` is how many files of each table a micro-batch takes (by default all that are there).
     """
     folder = folder or work_folder(spark, "deliveries")
     union: DataFrame | None = None
     for number, feed in enumerate(feeds):
-        one = _stream(spark, feed, number, buckets)
+        one = _stream(spark, feed, number, buckets, files_per_batch)
         union = one if union is None else union.unionByName(one)
     flagged = (
         union.withWatermark("received_at", horizon)

@@ -2,8 +2,10 @@
 
 import datetime
 
+import duckdb
 import pytest
 
+from cellweave.plans.general import _copies_sql
 from cellweave.streaming.deliveries import Feed, surplus_copies
 
 T0 = datetime.datetime(2025, 1, 1)
@@ -81,6 +83,31 @@ def test_late_copy_that_beats_the_held_one(spark, tmp_path):
     assert found(spark, path, folder=folder, horizon="1 day", buckets=1) == [4, 5]
 
 
+def test_files_in_batches_of_their_own_against_sql(spark, tmp_path):
+    path, folder = str(tmp_path / "t.parquet"), tmp_path / "work"
+    files = [
+        [(1, "r1", "m", 0), (2, "r2", "m", 3), (3, "r1", "m", 2)],
+        [(4, "r8", "m", 240), (5, "R2 ", "m", 5)],
+        [(6, "r9", "m", 241), (7, "r3", "m", 236)],
+        [(8, "r1", "m", 100), (9, "r2", "m", 1), (10, "r9", "m", 242)],
+        [(11, "R1", "M", 90), (12, "r3", "m", 230), (13, "r8", "m", 500)],
+        [(14, "r2", "m", 501), (15, "r8", "m", 499), (16, "r5", "m", 502)],
+    ]
+    for rows in files:
+        write(spark, path, rows, "append")
+    sql = _copies_sql(f"read_parquet('{path}/*.parquet')", "record_no", ("run", "model")).replace(f"'read_parquet('{path}/*.parquet')'", "'t'")
+    want = sorted(n for _, n in duckdb.sql(sql).fetchall())
+    assert found(spark, path, folder=str(folder), horizon="1 day", buckets=1, files_per_batch=1) == want
+    assert len(list((folder / "out").glob("batch=*"))) == len(files)
+    assert list((folder / "out").glob("batch=*/kind=expired")) and list((folder / "late").glob("batch=*/*.parquet"))
+
+
+def test_identifiers_in_compatibility_form(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    write(spark, path, [(1, "run-7", "a/b", 1), (2, "\uff52un\uff0d\uff17", "A/\uff22", 2), (3, "run-8", None, 1), (4, "é", "m", 1), (5, "e\u0301", "m", 2)])
+    assert found(spark, path) == [2, 5]
+
+
 def test_rerun_gives_the_same(spark, tmp_path):
     path, folder = str(tmp_path / "t.parquet"), str(tmp_path / "work")
     write(spark, path, [(1, "r1", "m", 5), (2, "r1", "m", 3)])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import drift
+from cellweave.plans.base import fold
 from cellweave.session import materialise, table
 from cellweave.streaming.deliveries import Feed, surplus_copies
 
@@ -14,15 +15,18 @@ RESULT_ID = ("run_id", "probe_id", "model")
 VERDICT_ID = (*RESULT_ID, "response_sha256", "judge_version")
 
 
+#: Micro-batches that a table of many files is taken in.
+BATCHES = 4
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every surplus copy of a result or a verdict."""
-    return surplus_copies(
-        spark,
-        [
-            Feed("raw_results", f"{sf_dir}/raw_results.parquet", RESULT_ID, "record_no"),
-            Feed("panel_verdicts", f"{sf_dir}/panel_verdicts.parquet", VERDICT_ID, "verdict_no"),
-        ],
-    )
+    feeds = [
+        Feed("raw_results", f"{sf_dir}/raw_results.parquet", RESULT_ID, "record_no"),
+        Feed("panel_verdicts", f"{sf_dir}/panel_verdicts.parquet", VERDICT_ID, "verdict_no", digests=("response_sha256",)),
+    ]
+    files = max(len(spark.read.parquet(f.path).inputFiles()) for f in feeds)
+    return surplus_copies(spark, feeds, files_per_batch=-(-files // BATCHES))
 
 
 #: The columns of the two unified tables.
@@ -79,7 +83,8 @@ def _unified(kind: str, columns: dict[str, str]):
 
 
 def _copies_sql(table: str, row: str, ids: tuple[str, ...]) -> str:
-    keys = ", ".join(f"lower(trim({c}, ' ' || chr(9)))" for c in ids)
+    bare = lambda c: f"regexp_replace({fold(c)}, '^sha256:', '')" if c == "response_sha256" else fold(c)
+    keys = ", ".join(map(bare, ids))
     return f"""SELECT '{table}' AS source_table, {row} AS row_no FROM (
         SELECT {row}, row_number() OVER (PARTITION BY {keys} ORDER BY received_at, {row}) AS k FROM {table}) WHERE k > 1"""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,19 +38,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = existing.get() if existing.isDefined() else f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
+        if existing.isDefined():
+            root = existing.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            root = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/cellweave/{spark.sparkContext.applicationId}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob leads anywhere."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where))
+
+
+_cleaned: set[str] = set()
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared root; its files outlive a lost executor."""
-    return f"{shared_root(spark)}/cellweave/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared root; its files outlive a lost executor and go with the application (see clear)."""
+    own = _own(spark)
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/work/{purpose}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+def _forget(spark: SparkSession, own: str) -> None:
+    try:
+        _delete(spark, own)
+    except Exception:  # the JVM has gone already; the folder is named after the application, so that it can be found
+        pass
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results not yet read out depend on them."""
+    _delete(spark, f"{_own(spark)}/work")
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -86,7 +127,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(here.rglob("*.py")):
             archive.write(file, file.relative_to(here.parent))
-    path = f"{work_folder(spark, 'package')}/cellweave_package.zip"
+    path = f"{_own(spark)}/package/cellweave_package.zip"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
     stream.write(packed.getvalue())

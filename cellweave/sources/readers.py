@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import path_exists
+
 RAW_RESULT = "run_id string, probe_id string, paper_id string, model string, response_text string, latency_ms double, prompt_tokens int, completion_tokens int, finish_reason string, timestamp string, error string, domain string"
 SCORE = "struct<classification:string,refused:boolean,recognized:boolean,starred:boolean,null_content_kind:string,edi:double,sanewashing:boolean,reproductions:map<string,double>>"
 PAPER = """paper_id string, doi string, title string, authors array<string>, journal string, year int, pdf_sha256 string,
@@ -24,12 +26,6 @@ PAPER = """paper_id string, doi string, title string, authors array<string>, jou
   annotation struct<annotator:string,reviewer:string,review_status:string,date_annotated:string,date_reviewed:string,notes:string>"""
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return bool(found)
-
-
 def raw_results(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Result arrays (JSON). ``ord`` is a record's place in its file, by which the last of repeated keys is told; ``has_text`` tells a null text from none."""
     if tolerant and not path_exists(spark, path):

@@ -1,221 +1,142 @@
 """Exactly one copy of messages that were delivered at least once (keyed streaming state).
 
-The stream keeps, per hash bucket of identifiers, a compact state of the identifiers seen and of the copy kept
-for each (its arrival time and row number). A copy is *surplus* when another copy of the same message arrived
-earlier. Identifiers expire from the state once the event-time watermark passes them; they leave through the
-output into an archive, and every kept copy that is new to the state is looked up there, so that a very late copy
-is still recognised. Output, archive and lookups of a micro-batch are written to ``batch=<id>`` folders that a
-replay overwrites, so output and checkpointed state agree after any failure.
-
-Skew: rows that share an identifier inside one Arrow batch are decided before the shuffle (only the earliest can be
-the kept copy), and rows so decided travel under a bucket of their own row number. A message that holds a third
-of all rows therefore reaches the state as one row per batch.
-
-Defined cases: identifiers are compared after trimming, white-space folding, compatibility normalisation and
-lower-casing; a row with a null or blank identifier part belongs to no message and is never a copy; on equal
-arrival times (a null one counts as last) the lowest row number is kept; other columns are ignored, whatever
-their names; an empty table gives no rows.
+The stream keeps one state entry per identifier: its earliest copy and how many copies it had. Entries live in the state
+store (RocksDB), are updated in the JVM, and expire when the event-time watermark passes their window. Every entry that a
+micro-batch touches is written to its ``batch=<id>`` folder, which a replay overwrites, so that output and checkpointed
+state agree after any failure; these folders are also the archive of expired entries. A copy that comes after its
+identifier has expired opens a new entry, and the late-arrival lookup joins the entries of one identifier across windows:
+one pass over narrow entries for each run, not for each micro-batch.
+
+Event time is the arrival time that the feed had reached with a row's file (the latest arrival in that file and the files
+before it). It never runs backwards, so that the engine takes no row for late and drops it, however old its arrival is.
+
+Skew: copies are reduced to one row per identifier and task before the shuffle (the aggregation's map side), so a message
+that holds a third of all rows is no hot task. Rows of repeated identifiers are found by a join with one narrow row per
+repeated identifier, which is broadcast only when its written size allows that.
+
+Defined cases: identifiers are compared after trimming, white-space folding, folding of full-width forms and lower-casing;
+a digest may carry the name of its algorithm; a row with a null or blank identifier part belongs to no message and is never
+a copy; on equal arrival times (a null one counts as last) the lowest row number is kept; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cellweave.functions.identifiers import fold_identifier
-from cellweave.session import settings, work_folder
+from cellweave.functions.identifiers import fold_digest, fold_identifier
+from cellweave.session import materialise, path_exists, settings, work_folder
 
-#: Identifiers per bucket state are about rows / BUCKETS; raise it for tables of billions of messages.
-BUCKETS = 192
+#: How long an identifier stays in the state at least.
 HORIZON = "30 days"
-LATEST = np.iinfo(np.int64).max
-ROW = "src int, row_no long, at long, h1 long, h2 long, received_at timestamp, decided boolean, bucket int"
-OUT = "kind string, src int, row_no long, at long, h1 long, h2 long"
-STATE = "src binary, row_no binary, at binary, h1 binary, h2 binary"
+#: A null arrival time, after all others.
+LAST = (1 << 63) - 1
+ENTRY = "src int, h1 long, h2 long, opened timestamp, at long, row_no long, n long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
 class Feed:
-    """One table of messages: where it lies, its identifier parts, its row number and arrival time."""
+    """One table of messages: where it lies, its identifier parts (``digests`` are those that hold hashes), its row number and arrival time."""
 
     name: str
     path: str
     ids: Sequence[str]
     row: str
     arrived: str = "received_at"
+    digests: Sequence[str] = field(default=())
 
 
-def _column(df: DataFrame, name: str) -> Column:
-    return df[f"`{name}`"]
-
-
-def _compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def _keyed(raw: DataFrame, feed: Feed, number: int, *more: Column) -> DataFrame:
+    """src, row_no, at, h1, h2 of every row: a 128-bit hash of its folded identifier, or of its row number where a part is missing."""
+    column = lambda c: raw[f"`{c}`"]
+    parts = [(fold_digest if c in feed.digests else fold_identifier)(column(c).cast("string")) for c in feed.ids]
+    known = F.lit(True)
+    for part in parts:
+        known = known & part.isNotNull() & (part != "")
+    row = column(feed.row).cast("long")
+    own = F.when(known, F.lit(None)).otherwise(row)
+    key = [F.lit(number), own, *[F.when(known, p) for p in parts]]
+    return raw.select(
+        F.lit(number).alias("src"),
+        row.alias("row_no"),
+        F.coalesce(F.unix_micros(column(feed.arrived).cast("timestamp")), F.lit(LAST)).alias("at"),
+        F.xxhash64(*key).alias("h1"),
+        F.xxhash64(F.lit("second"), *key).alias("h2"),
+        *more,
+    )
 
 
-def _identifier(value: Column) -> Column:
-    """The folded identifier in compatibility form; only values beyond ASCII go through Python."""
-    return fold_identifier(F.coalesce(F.pandas_udf(_compatible, "string")(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value))
+def _reached(spark: SparkSession, feed: Feed) -> DataFrame:
+    """(file, reached): the latest arrival up to each file, in the order in which the stream takes them; one narrow row per file."""
+    rows = spark.read.parquet(feed.path)
+    arrived = rows[f"`{feed.arrived}`"].cast("timestamp")
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified")).agg(F.max(arrived).alias("latest"))
+    so_far = Window.orderBy("modified").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return files.select("file", F.coalesce(F.max("latest").over(so_far), F.timestamp_seconds(F.lit(0))).alias("reached"))
 
 
-def _stream(spark: SparkSession, feed: Feed, number: int, buckets: int, files_per_batch: int | None) -> DataFrame:
-    schema = spark.read.parquet(feed.path).schema
+def _stream(spark: SparkSession, feed: Feed, number: int, files_per_batch: int | None, horizon: str) -> DataFrame:
     # A stream takes a folder or a glob; the bracket makes a glob of the path, whether it is a file or a folder.
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(spark.read.parquet(feed.path).schema).option("maxFileAge", "100000d")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.parquet(f"{feed.path[:-1]}[{feed.path[-1]}]")
-    parts = [_identifier(_column(raw, c).cast("string")) for c in feed.ids]
-    known = F.lit(True)
-    for part in parts:
-        known = known & part.isNotNull() & (part != "")
-    row = _column(raw, feed.row).cast("long")
-    # A row without a full identifier gets a key of its own.
-    own = F.when(known, F.lit(None)).otherwise(row)
-    rows = raw.select(
-        F.lit(number).alias("src"),
-        row.alias("row_no"),
-        F.coalesce(F.unix_micros(_column(raw, feed.arrived).cast("timestamp")), F.lit(LATEST)).alias("at"),
-        F.xxhash64(F.lit(number), own, *[F.when(known, p) for p in parts]).alias("h1"),
-        F.xxhash64(F.lit("second"), F.lit(number), own, *[F.when(known, p) for p in parts]).alias("h2"),
-        _column(raw, feed.arrived).cast("timestamp").alias("received_at"),
-    )
-    return rows.mapInPandas(_Predecide(buckets), ROW)
-
-
-class _Predecide:
-    """Marks, inside each Arrow batch, every row that a row of the same message beats."""
-
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            order = np.lexsort((pdf.row_no, pdf["at"], pdf.h2, pdf.h1))
-            h1, h2 = pdf.h1.to_numpy()[order], pdf.h2.to_numpy()[order]
-            same = np.zeros(len(pdf), bool)
-            same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            decided = np.empty(len(pdf), bool)
-            decided[order] = same
-            spread = np.where(decided, pdf.row_no.to_numpy(), pdf.h1.to_numpy())
-            yield pdf.assign(decided=decided, bucket=(spread % self.buckets).astype("int32"))
-
-
-def _unpack(state: GroupState) -> dict[str, np.ndarray]:
-    kinds = {"src": "i4", "row_no": "i8", "at": "i8", "h1": "i8", "h2": "i8"}
-    if not state.exists:
-        return {c: np.empty(0, k) for c, k in kinds.items()}
-    return {c: np.frombuffer(blob, k) for (c, k), blob in zip(kinds.items(), state.get)}
-
-
-def _seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One bucket: compares new rows with the identifiers seen, emits copies, new and expired identifiers."""
-    watermark = state.getCurrentWatermarkMs() * 1000
-    cols = ["src", "row_no", "at", "h1", "h2"]
-    fresh = []
-    for pdf in batches:
-        done = pdf.decided.to_numpy()
-        if done.any():
-            yield pdf.loc[done, cols].assign(kind="copy")[["kind", *cols]]
-        if not done.all():
-            fresh.append({c: pdf[c].to_numpy()[~done] for c in cols})
-    held = _unpack(state)
-    n_held = len(held["h1"])
-    both = {c: np.concatenate([held[c], *(f[c] for f in fresh)]) for c in cols}
-    if not len(both["h1"]):
-        return
-    old = np.arange(len(both["h1"])) < n_held
-    order = np.lexsort((both["row_no"], both["at"], both["h2"], both["h1"]))
-    both, old = {c: v[order] for c, v in both.items()}, old[order]
-    same = np.zeros(len(old), bool)
-    same[1:] = (both["h1"][1:] == both["h1"][:-1]) & (both["h2"][1:] == both["h2"][:-1])
-    expired = ~same & (both["at"] < watermark)
-    live = ~same & ~expired
-    parts = [("copy", same), ("expired", expired)]
-    if watermark > 0:  # nothing can have expired before the first watermark
-        parts.append(("new", ~same & ~old))
-    for kind, mask in parts:
-        if mask.any():
-            yield pd.DataFrame({"kind": kind} | {c: both[c][mask] for c in cols})[["kind", *cols]]
-    kinds = {"src": "i4", "row_no": "i8", "at": "i8", "h1": "i8", "h2": "i8"}
-    state.update(tuple(both[c][live].astype(k).tobytes() for c, k in kinds.items()))
+    rows = _keyed(raw, feed, number, F.col("_metadata.file_path").alias("file"))
+    # A file that came after the list was made counts as arriving now.
+    timed = rows.join(_reached(spark, feed), "file", "left").withColumn("reached", F.coalesce("reached", F.current_timestamp()))
+    return timed.drop("file").withWatermark("reached", horizon)
 
 
 class _Sink:
-    """Writes a micro-batch under its own id and looks its new identifiers up among the expired ones."""
+    """Writes the entries that a micro-batch touched under its own id."""
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
-    def __call__(self, out: DataFrame, batch: int) -> None:
-        spark = out.sparkSession
-        mine = f"{self.folder}/out/batch={batch}"
-        out.write.mode("overwrite").partitionBy("kind").parquet(mine)
-        if not batch:
-            return
-        written = spark.read.schema(OUT).option("basePath", f"{self.folder}/out").parquet(f"{self.folder}/out")
-        new = written.where((F.col("batch") == batch) & (F.col("kind") == "new"))
-        gone = written.where((F.col("batch") < batch) & (F.col("kind") == "expired"))
-        first = gone.groupBy("src", "h1", "h2").agg(F.min(F.struct("at", "row_no")).alias("kept"))
-        met = new.join(first, ["src", "h1", "h2"])
-        later = F.struct("at", "row_no") > F.col("kept")
-        met.select(
-            "src",
-            F.when(later, F.col("row_no")).otherwise(F.col("kept.row_no")).alias("row_no"),
-        ).write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch}")
+    def __call__(self, entries: DataFrame, batch: int) -> None:
+        entries.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch}")
+
+
+def entries(spark: SparkSession, feeds: Sequence[Feed], folder: str, horizon: str = HORIZON, files_per_batch: int | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Drains the stream and gives all entries ever touched: src, h1, h2, opened, at and row_no of the earliest copy, n.
+
+    Called again with the same ``folder`` it goes on with the files that came since, also after a failure.
+    """
+    union: DataFrame | None = None
+    for number, feed in enumerate(feeds):
+        one = _stream(spark, feed, number, files_per_batch, horizon)
+        union = one if union is None else union.unionByName(one)
+    held = union.groupBy("src", "h1", "h2", F.window("reached", horizon).alias("w")).agg(F.min(F.struct("at", "row_no")).alias("kept"), F.count("*").alias("n"))
+    out = held.select("src", "h1", "h2", F.col("w.start").alias("opened"), "kept.at", "kept.row_no", "n")
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__multipleWatermarkPolicy="min"):
+        query = out.writeStream.outputMode("update").foreachBatch(sink or _Sink(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    if not path_exists(spark, f"{folder}/out"):
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
 
 
 def surplus_copies(
-    spark: SparkSession,
-    feeds: Sequence[Feed],
-    *,
-    horizon: str = HORIZON,
-    buckets: int = BUCKETS,
-    files_per_batch: int | None = None,
-    folder: str | None = None,
+    spark: SparkSession, feeds: Sequence[Feed], *, horizon: str = HORIZON, files_per_batch: int | None = None, folder: str | None = None, sink: Callable[[DataFrame, int], None] | None = None
 ) -> DataFrame:
     """(source_table, row_no) of every surplus copy in the tables of ``feeds``.
 
-    Runs the stream over all files that are there (``availableNow``); called again with the same ``folder`` it goes on
-    with files that came since. ``horizon`` is how long an identifier stays in the state after it arrived;
-    ``files_per_batch`` is how many files of each table a micro-batch takes (by default all that are there).
+    ``horizon`` is how long an identifier stays in the state at least; ``files_per_batch`` is how many files of each table a
+    micro-batch takes (by default all that are there); ``sink`` takes the place of the writer of micro-batches.
     """
     folder = folder or work_folder(spark, "deliveries")
-    union: DataFrame | None = None
+    touched = entries(spark, feeds, folder, horizon, files_per_batch, sink)
+    # The late-arrival lookup: an identifier is repeated if an entry saw several copies, or if it has entries in several windows.
+    merged = touched.groupBy("src", "h1", "h2").agg(F.min(F.struct("at", "row_no")).alias("kept"), F.max("n").alias("n"), F.min("opened").alias("a"), F.max("opened").alias("b"))
+    repeated = merged.where((F.col("n") > 1) | (F.col("a") < F.col("b"))).select("src", "h1", "h2", F.col("kept.row_no").alias("kept_row"))
+    repeated = materialise(repeated, "repeated")
+    rows: DataFrame | None = None
     for number, feed in enumerate(feeds):
-        one = _stream(spark, feed, number, buckets, files_per_batch)
-        union = one if union is None else union.unionByName(one)
-    flagged = (
-        union.withWatermark("received_at", horizon)
-        .groupBy("bucket")
-        .applyInPandasWithState(_seen, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    )
-    with settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        query = (
-            flagged.writeStream.outputMode("append")
-            .foreachBatch(_Sink(folder))
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    names = spark.createDataFrame([(n, f.name) for n, f in enumerate(feeds)], "src int, source_table string")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    files = jvm_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = spark.createDataFrame([], "src int, row_no long")
-    if files.exists(jvm_path(f"{folder}/out")):
-        out = spark.read.schema(OUT).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
-        found = out.where(F.col("kind") == "copy").select("src", "row_no")
-    if files.exists(jvm_path(f"{folder}/late")):
-        late = spark.read.schema("src int, row_no long").parquet(f"{folder}/late")
-        found = found.unionByName(late.select("src", "row_no")).distinct()
-    return found.join(F.broadcast(names), "src").select("source_table", "row_no")
+        one = _keyed(spark.read.parquet(feed.path), feed, number).select("src", "row_no", "h1", "h2", F.lit(feed.name).alias("source_table"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(repeated, ["src", "h1", "h2"]).where("row_no <> kept_row").select("source_table", "row_no")

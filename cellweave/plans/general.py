@@ -56,22 +56,15 @@ VERDICT_COLUMNS = {
 }
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "result_dumps")
-    fields = drift.record_fields(lines, keep=("file_id",))
-    profiles = materialise(drift.profile(fields, ("file_id",)), "profiles")
-    return drift.schema_changes(profiles, drift.predecessors(lines))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every difference between a file's fields and those of the file before it."""
-    return _changes(spark, sf_dir)
+    return drift.schema_changes(table(spark, sf_dir, "result_dumps"))
 
 
 def _unified(kind: str, columns: dict[str, str]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = table(spark, sf_dir, "result_dumps")
-        changes = materialise(_changes(spark, sf_dir).where("change_type = 'renamed'"), "renames")
+        changes = materialise(drift.schema_changes(lines).where("change_type = 'renamed'"), "renames")
         kinds = lines.select("file_id", "record_kind").distinct()
         renames = changes.join(kinds.where(F.col("record_kind") == kind), "file_id", "left_semi")
         names = materialise(drift.canonical_names(renames, tuple(columns)), "names")

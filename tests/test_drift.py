@@ -4,17 +4,18 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 
 from cellweave.operators import drift
+from cellweave.session import settings
 
 SCHEMA = "line_id long, feed_id string, file_id string, file_seq int, payload string, field string"
 
 
 def changes(spark, rows):
     lines = spark.createDataFrame([(n, f, i, s, p if p is None or isinstance(p, str) else json.dumps(p), "clash") for n, (f, i, s, p) in enumerate(rows)], SCHEMA)
-    profiles = drift.profile(drift.record_fields(lines, keep=("file_id",)), ("file_id",)).cache()
-    return sorted(tuple(r) for r in drift.schema_changes(profiles, drift.predecessors(lines)).collect())
+    return sorted(tuple(r) for r in drift.schema_changes(lines).collect())
 
 
 def test_added_removed_retyped_renamed(spark):
@@ -80,3 +81,37 @@ def test_unified_table(spark):
     assert (out[1]["label"], out[1]["n"], out[1]["extras"]) == ("X", 7, {"more": "1"})
     assert (out[2]["label"], out[2]["n"], out[2]["extras"]) == ("Y", None, {"n": "bad"})
     assert (out[3]["label"], out[3]["extras"]) == (None, None)
+
+
+def test_a_file_over_many_batches(spark):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="3"):
+        rows = [("f", f"f{k}", k, {"model": f"m{n % 5}/x", "n": n, f"only{k}": "a b c"}) for k in (1, 2, 3) for n in range(40)]
+        rows += [("f", "f4", 4, {"model": [1], "n": n}) for n in range(10)]
+        assert changes(spark, rows) == [
+            ("f2", "renamed", "only1", "only2"), ("f3", "renamed", "only2", "only3"), ("f4", "removed", "only3", ""), ("f4", "retyped", "model", "model"),
+        ]
+
+
+def test_word_hashes_do_not_depend_on_place():
+    powers = drift._Powers()
+    text = "One two, one-TWO ünï 12 ünï"
+    at, found = drift.word_hashes(np.frombuffer(f" {text} ".encode(), np.uint8), powers)
+    words = "one two one two ünï 12 ünï".split()
+    assert len(at) == len(words)
+    assert [words.index(w) for w in words] == [found.tolist().index(h) for h in found.tolist()]
+
+
+def test_renames_of_any_length_and_no_value_lost(spark):
+    rows = [
+        (1, "f", "f1", 1, "t", '{"d": "X", "n": [5]}'), (2, "f", "f1", 1, "t", '{"label": "A", "b": "B", "z": null}'), (3, "f", "f1", 1, "t", '{"c": ["P", "Q"], "many": "no list"}'),
+        (4, "f", "f1", 1, "t", '{"many": ["x", "y"], "n": "7", "b": "B", "c": "C"}'), (5, "f", "f1", 1, "t", None), (5, "f", "f1", 1, "t", "{}"),
+    ]
+    lines = spark.createDataFrame(rows, "line_id long, feed_id string, file_id string, file_seq int, written_at string, payload string")
+    renames = spark.createDataFrame([("d", "c"), ("b", "c"), ("b", "label"), ("x", "y")], "old_field string, new_field string")
+    names = drift.canonical_names(renames, ("label", "n", "many"))
+    assert {r["field"]: r["target"] for r in names.collect()} == {"label": "label", "n": "n", "many": "many", "b": "label", "c": "label", "d": "label"}
+    out = {r["line_id"]: r for r in drift.unify(lines, names, {"label": "string", "n": "int", "many": "array<string>"}).collect()}
+    assert (out[1]["label"], out[1]["n"], out[1]["extras"]) == ("X", 5, {})
+    assert (out[2]["label"], out[2]["extras"]) == ("A", {"b": "B", "z": None})
+    assert (out[3]["label"], out[3]["many"], out[3]["extras"]) == (None, None, {"c": '["P","Q"]', "many": "no list"})
+    assert (out[4]["label"], out[4]["n"], out[4]["many"], out[4]["extras"]) == ("B", 7, ["x", "y"], {"c": "C"})

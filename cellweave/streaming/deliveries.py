@@ -88,7 +88,7 @@ def _stream(spark: SparkSession, feed: Feed, number: int, files_per_batch: int |
     raw = reader.parquet(f"{feed.path[:-1]}[{feed.path[-1]}]")
     rows = _keyed(raw, feed, number, F.col("_metadata.file_path").alias("file"))
     # A file that came after the list was made counts as arriving now.
-    timed = rows.join(_reached(spark, feed), "file", "left").withColumn("reached", F.coalesce("reached", F.current_timestamp()))
+    timed = rows.join(materialise(_reached(spark, feed), "files"), "file", "left").withColumn("reached", F.coalesce("reached", F.current_timestamp()))
     return timed.drop("file").withWatermark("reached", horizon)
 
 

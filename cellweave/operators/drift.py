@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.hashing import Powers, slice_hashes
 from cellweave.session import materialise
 
 #: A pair of fields below this similarity is no rename.
@@ -77,40 +78,12 @@ def _classes() -> np.ndarray:
     return table
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64, grown as needed."""
-
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            inverse = pow(self.BASE, -1, 1 << 64)
-            out = []
-            for base in (self.BASE, inverse):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                out.append(np.multiply.accumulate(steps))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-def word_hashes(data: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins, and its 64-bit hash, of a buffer that neither begins nor ends inside a word."""
+def word_hashes(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash, of a buffer that neither begins nor ends inside a word."""
     inside = _classes()[5][data].astype(bool)
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = powers.upto(len(data) + 1)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    x = (total[end] - total[begin]) * down[begin]
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    # Non-negative, so that order is the same in every language.
-    return begin, (x >> np.uint64(1)).astype(np.int64)
+    return begin, slice_hashes(np.where((data >= 65) & (data <= 90), data + 32, data), begin, end, powers)
 
 
 def least_hashes(group: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,11 +116,11 @@ class _Profile:
         self.k = k
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = Powers()
         for batch in batches:
             yield self.batch(batch, powers)
 
-    def batch(self, batch: pa.RecordBatch, powers: _Powers) -> pa.RecordBatch:
+    def batch(self, batch: pa.RecordBatch, powers: Powers) -> pa.RecordBatch:
         files: dict[tuple, int] = {}
         groups: dict[tuple[int, str], int] = {}
         owner, kinds, texts, text_of, numbers, number_of = [], [], [], [], [], []

@@ -93,7 +93,7 @@ def test_a_file_over_many_batches(spark):
 
 
 def test_word_hashes_do_not_depend_on_place():
-    powers = drift._Powers()
+    powers = drift.Powers()
     text = "One two, one-TWO ünï 12 ünï"
     at, found = drift.word_hashes(np.frombuffer(f" {text} ".encode(), np.uint8), powers)
     words = "one two one two ünï 12 ünï".split()

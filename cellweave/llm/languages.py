@@ -86,7 +86,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     """The model of the languages that enough rows are labelled with (the label's first two letters, in lower case)."""
     code = F.regexp_extract(F.lower(F.trim(labelled[f"`{lang}`"].cast("string"))), r"^([a-z]{2})(?:[-_].*)?$", 1)
     rows = labelled.select(code.alias("lang"), labelled[f"`{text}`"].cast("string").alias("text")).where("lang != '' AND length(text) > 0")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()}
+    # The labels alone, so that this scan reads no texts.
+    sizes = {r["lang"]: r["n"] for r in labelled.select(code.alias("lang")).where("lang != ''").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()], F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < share * 1_000_003)
     grams = chosen.mapInPandas(_counts, "lang string, feature long, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()

@@ -1,23 +1,28 @@
 """Text that looks like other text but consists of other characters.
 
-``canonical`` gives one consistent form: compatibility normalisation (composed), full case folding, white space mapped to
-a space, default-ignorable characters removed, and letters of another script that look like Latin ones replaced inside
-words that are otherwise Latin. ``affected`` says whether a value holds any character that only looks like, or is only a
-width, spacing or joined form of, ordinary ones. Both work once per distinct value of a batch.
-
-Defined cases: null stays null and is never affected; an empty text is unaffected; in an array, null elements are skipped;
-texts of any length are read whole; other columns are ignored, whatever their names.
+``consistent`` brings values to one form: compatibility normalisation (composed), white space mapped to a space,
+default-ignorable characters removed, letters of another script that look like Latin ones replaced inside words that are
+otherwise Latin, and full case folding. A value is *affected* when this form, before case is folded and blanks are joined,
+differs from the value itself with its typographic characters (those whose compatibility form looks otherwise) spelled out.
+Everything works once per distinct value of a batch; code points are looked up for a whole batch at once, and only values
+with a code point that the form could change are looked at one by one.
+
+Defined cases: null stays null and is never affected; an empty text is unaffected; in an array, null elements stay null and
+are skipped; texts of any length are read whole; every row of a repeated value is treated alike; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,37 +38,44 @@ FOREIGN = "".join(map(chr, TO_LATIN))
 #: A Latin letter that is no ordinary one and looks like g.
 ALWAYS = "ɡ"
 # Default-ignorable code points outside the general category of format characters.
-IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
+IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF)]
 #: Kinds of compatibility mapping under which the look stays: width, spacing and joined forms.
 LINE_ENDS = "\t\n\v\f\r\x85\x1c\x1d\x1e\x1f"
 SAME_LOOK = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
 
 
+#: Where characters of these kinds are (ideographs and Korean syllables are none).
+RANGES = ((0, 0x3400), (0x9FFF, 0xAC00), (0xD7A4, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
+LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
+
+
 @cache
-def table() -> dict[int, str]:
-    """What each invisible, spacing, width or joined character stands for."""
-    found: dict[int, str] = {ord(ALWAYS): "g"}
-    # No character beyond these two ranges is of these kinds.
-    for p in (*range(0x30000), *range(0xE0000, 0xE1000)):
+def tables() -> tuple[dict[int, str], dict[int, str], np.ndarray]:
+    """What each invisible, spacing, width or joined character stands for; the compatibility form of each typographic one;
+    and, by code point, whether the consistent form could change it or what stands before it."""
+    same: dict[int, str] = {ord(ALWAYS): "g"}
+    typographic: dict[int, str] = {}
+    suspect = np.zeros(0x110000, bool)
+    for p in (p for a, b in RANGES for p in range(a, b)):
         c = chr(p)
         kind = unicodedata.category(c)
         if kind == "Cf" or any(a <= p <= b for a, b in IGNORABLE) or (kind == "Cc" and c not in LINE_ENDS):
-            found[p] = ""
+            same[p] = ""
         elif kind == "Zs":
             if c != " ":
-                found[p] = " "
+                same[p] = " "
         elif tag := unicodedata.decomposition(c):
             form, whole = tag.split(" ")[0], unicodedata.normalize("NFKC", c)
             if form in SAME_LOOK or (form == "<compat>" and len(whole) > 1 and whole.isalpha() and kind[0] == "L"):
-                found[p] = whole
-    return found
-
-
-LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
-@cache
-def _listed() -> re.Pattern:
-    """Matches any character of the table (and, to stay a fast bitmap, any beyond the basic plane)."""
-    return re.compile("[" + "".join(re.escape(chr(p)) for p in sorted(table()) if p < 0x10000) + "\U00010000-\U0010ffff]")
+                same[p] = whole
+            elif form[0] == "<":
+                typographic[p] = whole
+            elif whole != c:  # composed otherwise
+                suspect[p] = True
+        if kind[0] == "M" or 0x1160 <= p < 0x1200:
+            suspect[p] = True
+    suspect[[*same, *TO_LATIN]] = True
+    return same, typographic, suspect
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,23 +97,99 @@ def same_look(text: str) -> str:
     """
     if text.isascii():
         return CONTROL.sub("", text)
-    plain = text.translate(table()) if _listed().search(text) else text
+    plain = text.translate(tables()[0])
     if not unicodedata.is_normalized("NFC", plain):
         plain = unicodedata.normalize("NFC", plain)
     return WORD.sub(_latinise, plain) if HAS_FOREIGN.search(plain) else plain
 
 
+def composed(text: str) -> str:
+    """The consistent form before case is folded and blanks are joined."""
+    plain = same_look(text)
+    return plain if plain.isascii() else unicodedata.normalize("NFKC", plain)
+
+
+def spelled_out(text: str) -> str:
+    """``text`` with its typographic characters in compatibility form, and nothing else changed."""
+    if text.isascii():
+        return text
+    plain = text.translate(tables()[1])
+    return unicodedata.normalize("NFC", plain) if unicodedata.is_normalized("NFC", text) else plain
+
+
 def is_affected(text: str) -> bool:
     """Whether ``text`` has a character that is invisible or stands for other, ordinary ones."""
-    return same_look(text) != text
+    return composed(text) != spelled_out(text)
 
 
 def fold(text: str) -> str:
-    """The consistent form for comparisons: as it looks, compatibility-composed, case-folded, with single spaces."""
-    plain = same_look(text)
-    if not plain.isascii():
-        plain = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", plain).casefold())
-    return BLANKS.sub(" ", plain.lower()).strip()
+    """The consistent form for comparisons."""
+    plain = composed(text)
+    plain = plain.lower() if plain.isascii() else unicodedata.normalize("NFKC", plain.casefold())
+    return BLANKS.sub(" ", plain).strip()
+
+
+#: Characters looked up at once.
+PORTION = 4_000_000
+
+
+def suspects(texts: list[str]) -> np.ndarray:
+    """Whether each text has a code point that its consistent form could change; no text without one is affected."""
+    table, out = tables()[2], np.zeros(len(texts), bool)
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text) + 1
+        if held > PORTION or i + 1 == len(texts):
+            part = texts[start : i + 1]
+            points = np.frombuffer(("\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])[:-1]])
+            out[start : i + 1] = np.logical_or.reduceat(table[points], begin)
+            start, held = i + 1, 0
+    return out
+
+
+def plain_texts(texts: list[str]) -> list[str]:
+    """The texts in ordinary characters (see same_look)."""
+    return [same_look(t) if odd else t for t, odd in zip(texts, suspects(texts))]
+
+
+VALUES = "source_table string, row_no long, field_name string, values array<string>"
+
+
+class _Consistent:
+    """The values of each row (source_table, row_no, field_name, values) in consistent form, or only the affected rows without them."""
+
+    def __init__(self, found_only: bool) -> None:
+        self.found_only = found_only
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            each = lists.flatten().dictionary_encode()
+            distinct = each.dictionary.to_pylist()
+            odd = suspects(distinct)
+            if not self.found_only:
+                forms = pa.array([fold(t) for t in distinct], pa.string()).take(each.indices)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([0 if v is None else v for v in lists.value_lengths().to_pylist()])]).astype(np.int32))
+                values = pa.ListArray.from_arrays(offsets, forms, mask=lists.is_null())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), values], ["source_table", "row_no", "field_name", "values"])
+                continue
+            found = np.zeros(len(distinct) + 1, bool)
+            for i in np.flatnonzero(odd):
+                found[i] = is_affected(distinct[i])
+            hit = found[each.indices.fill_null(len(distinct)).to_numpy()]
+            rows = np.unique(lists.value_parent_indices().to_numpy()[hit])
+            yield batch.select(["source_table", "row_no", "field_name"]).take(pa.array(rows))
+
+
+def consistent(values: DataFrame) -> DataFrame:
+    """``values`` (VALUES) with each value in consistent form."""
+    return values.mapInArrow(_Consistent(False), VALUES)
+
+
+def affected(values: DataFrame) -> DataFrame:
+    """source_table, row_no, field_name of the rows of ``values`` (VALUES) that hold an affected value."""
+    return values.mapInArrow(_Consistent(True), VALUES.rpartition(",")[0])
 
 
 def per_distinct(values: pd.Series, work: Callable[[str], object]) -> pd.Series:
@@ -117,25 +205,6 @@ def canonical(values: pd.Series) -> pd.Series:
     return per_distinct(values, fold)
 
 
-@F.pandas_udf(T.BooleanType())
-def _affected(values: pd.Series) -> pd.Series:
-    return per_distinct(values, is_affected)
-
-
-#: Values without any of these (all but printable ASCII, line breaks and letters that never count) can't be affected.
-SUSPECT = r"[^\t\n\x0B\f\r\x20-\x7E¡-¬®-´¶-ıĴ-ľŁ-ňŊ-ž‐-―‘-‟…�]"
-
-
-def suspect(value: Column) -> Column:
-    """A JVM-side test that every affected value passes."""
-    return value.rlike(SUSPECT)
-
-
-def affected(value: Column) -> Column:
-    """Whether a value is affected; false for null."""
-    return F.coalesce(_affected(value), F.lit(False))
-
-
 def _located(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     folded = per_distinct(texts, fold)
     rows = []

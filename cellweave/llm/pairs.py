@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import fold_identifier
-from cellweave.llm import languages, truncation
+from cellweave.llm import languages, lookalikes, truncation
 
 #: Prompts up to so many characters in all go to the workers at once.
 PROMPT_LIMIT = 20_000_000
@@ -134,7 +134,7 @@ class PairCheck:
                 return None
             if len(self.known) > 5000:
                 self.known.clear()
-            plain = truncation.plain_text(text)
+            plain = lookalikes.plain_texts([text])[0]
             scores, letters = self.model.value.scores([plain])
             self.known[other] = Prompt(plain.lower()), int(scores[0].argmax()) if letters[0] >= MIN_LETTERS else -1
         return self.known[other]

@@ -49,24 +49,27 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("cut_rate", F.col("n_cut") / F.col("n"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored text, span list or quote list that holds look-alike or invisible characters."""
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, span list and quote list as a list of values."""
     results = table(spark, sf_dir, "raw_results").select(
-        F.lit("raw_results").alias("source_table"), F.col("record_no").alias("row_no"), F.lit("response_text").alias("field_name"), F.col("response_text").alias("value")
+        F.lit("raw_results").alias("source_table"), F.col("record_no").alias("row_no"), F.lit("response_text").alias("field_name"), F.array("response_text").alias("values")
     )
-    votes = table(spark, sf_dir, "panel_votes").select(
-        F.lit("panel_votes").alias("source_table"),
-        F.col("vote_no").alias("row_no"),
-        # No character joins with a line break, so a joined list is affected where one of its members is.
-        F.inline(
-            F.array(
-                F.struct(F.lit("key_spans").alias("field_name"), F.array_join("key_spans", "\n").alias("value")),
-                F.struct(F.lit("quote").alias("field_name"), F.array_join("source_identification_evidence.quote", "\n").alias("value")),
-            )
-        ),
+    lists = F.array(
+        F.struct(F.lit("key_spans").alias("field_name"), F.col("key_spans").alias("values")),
+        F.struct(F.lit("quote").alias("field_name"), F.col("source_identification_evidence.quote").alias("values")),
     )
-    values = results.unionByName(votes).where(lookalikes.suspect(F.col("value")))
-    return values.where(lookalikes.affected(F.col("value"))).select("source_table", "row_no", "field_name")
+    votes = table(spark, sf_dir, "panel_votes").select(F.lit("panel_votes").alias("source_table"), F.col("vote_no").alias("row_no"), F.inline(lists))
+    return results.unionByName(votes)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored text, span list or quote list that holds look-alike or invisible characters."""
+    return lookalikes.affected(_values(spark, sf_dir))
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, spans and quotes in one consistent form."""
+    return lookalikes.consistent(_values(spark, sf_dir))
 
 
 def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +139,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p3_spans": p3_spans,
     "p6_found": p6_found,
     "p7_ids": p7_ids,

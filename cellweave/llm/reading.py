@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.hashing import Powers, slice_hashes
 from cellweave.llm import languages
-from cellweave.llm.truncation import plain_text
+from cellweave.llm.lookalikes import plain_texts
 from cellweave.session import materialise
 
 #: Share of a document's words that the vocabulary must cover.
@@ -149,7 +149,7 @@ class _Measure:
                 yield self.portion(keys.slice(a, b - a), texts[a:b], powers)
 
     def portion(self, keys: pa.Array, texts: list[str | None], powers: Powers) -> pa.RecordBatch:
-        plain = [plain_text(t) if t else "" for t in texts]
+        plain = plain_texts([t or "" for t in texts])
         reads = self.reads(plain)
         n = len(texts)
         length, size, doc, hashes, counts = analyse([t if ok else "" for t, ok in zip(plain, reads)], powers)

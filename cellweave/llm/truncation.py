@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.lookalikes import SUSPECT, same_look
+from cellweave.llm.lookalikes import plain_texts
 from cellweave.session import materialise
 
 # Marks that a sender puts behind a cut.
@@ -40,7 +40,6 @@ NUMBER_STOP = re.compile(r"#[.][\"'”’»)\]*_`]*\Z")
 LIMITS = ("length", "max_tokens", "max_output_tokens", "model_length", "token_limit")
 LINE, END = "\x01", "\x03"
 DIGITS = re.compile(r"\d+")
-UNUSUAL = re.compile(SUSPECT)
 NUMBER = re.compile(r"[\W_]*#[#.,:%]*\Z")
 OUTER = re.compile(r"^[^\w#]+|[^\w#]+$")
 #: Distinct pairs held in a worker before their partial counts are sent on.
@@ -53,11 +52,6 @@ SCAN = "kind string, row_no long, a string, flags int, pair long, shape long, to
 MARKED, CLOSES, NUMERIC, BLANK, FENCE = 1, 2, 4, 8, 16
 
 
-def plain_text(text: str) -> str:
-    """The text in ordinary characters (see lookalikes)."""
-    return same_look(text) if not text.isascii() and UNUSUAL.search(text) else text
-
-
 # What stands where an answer should, without markup and marks.
 PLACEHOLDERS = {
     "", "null", "none", "nil", "nan", "n a", "na", "undefined", "empty", "blank", "no response", "no answer", "no output", "no content",
@@ -158,7 +152,7 @@ class _Scan:
             remarks = None if self.extra is None else self.remarks(codes, [], batch.column("other").to_pylist())
             return _rows(len(codes), "row", row_no=batch.column(0).to_pylist(), flags=[BLANK] * len(codes), extra=remarks)
         bodies, flags = [], np.zeros(len(distinct), np.int32)
-        plain = [plain_text(t) for t in distinct]
+        plain = plain_texts(list(distinct))
         for i, text in enumerate(plain):
             tail = text[-TAIL:]
             mark = MARKS.search(tail)

@@ -34,20 +34,30 @@ def test_fold_is_stable():
         assert look.fold(look.fold(text)) == look.fold(text)
 
 
-def test_jvm_screen_passes_every_case(spark):
-    singles = [chr(p) for p in range(0x3000) if unicodedata.category(chr(p)) not in ("Cs", "Cn")] + [chr(p) for p in (0xFB01, 0xFF21, 0xFEFF, 0x2F800, 0xE0001)]
-    bad = [c for c in singles if look.is_affected(f"a{c}b") or look.is_affected(c)]
-    rows = spark.createDataFrame([(c, f"a{c}b", c) for c in bad], "c string, v string, w string")
-    missed = rows.where(~(look.suspect(F.col("v")) | look.suspect(F.col("w")))).collect()
-    assert len(bad) > 200 and not missed
-
-
-def test_columns(spark):
-    rows = spark.createDataFrame([(1, "ﬁ", "x"), (1, "ﬁ", "x"), (2, None, None), (3, "", "y")], "id int, value string, affected string")
-    out = rows.select("id", look.affected(F.col("value")).alias("a"), look.canonical(F.col("value")).alias("c")).collect()
-    assert sorted((r["id"], r["a"], r["c"]) for r in out if r["id"] != 2) == [(1, True, "fi"), (1, True, "fi"), (3, False, "")]
-    assert [(r["a"], r["c"]) for r in out if r["id"] == 2] == [(False, None)]
-    assert rows.limit(0).select(look.affected(F.col("value"))).count() == 0
+def test_screen_passes_every_case():
+    singles = [chr(p) for p in range(0x30000) if unicodedata.category(chr(p)) not in ("Cs", "Cn")] + [chr(p) for p in (0x2065, 0xFFF3, 0xE0001)]
+    texts = [t for c in singles for t in (c, f"a{c}b", f"e{c}", f"\u1100{c}")]
+    odd = look.suspects(texts)
+    bad = [t for t in texts if look.is_affected(t)]
+    assert len(bad) > 800 and not {*bad} - {t for t, o in zip(texts, odd) if o}
+    plain = "".join(chr(p) for p in (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x180))) + "“”‘’–—…�\n\t"
+    assert not any(look.is_affected(c) for c in plain if c not in "ĳĲŀĿŉǄſ")
+
+
+def test_screen_in_portions(monkeypatch):
+    monkeypatch.setattr(look, "PORTION", 7)
+    texts = ["plain", "ﬁ", "", "x" * 50, "y" * 20 + "\u200b", "z"]
+    assert look.suspects(texts).tolist() == [False, True, False, False, True, False]
+    assert look.suspects([]).tolist() == []
+
+
+def test_tables(spark):
+    rows = [("t", 1, "f", ["ﬁ", None, "A  b"]), ("t", 2, "f", None), ("t", 3, "f", []), ("t", 4, "f", [None]), ("u", 5, "f", ["Plain…", "½"]), ("u", 6, "g", ["x" * 100000 + "\u00ad"]), ("u", 6, "g", ["x" * 100000 + "\u00ad"])]
+    values = spark.createDataFrame(rows, look.VALUES)
+    assert sorted(tuple(r) for r in look.affected(values).collect()) == [("t", 1, "f"), ("u", 6, "g"), ("u", 6, "g")]
+    out = {(r[0], r[1]): r[3] for r in look.consistent(values).collect()}
+    assert out == {("t", 1): ["fi", None, "a b"], ("t", 2): None, ("t", 3): [], ("t", 4): [None], ("u", 5): ["plain...", "1⁄2"], ("u", 6): ["x" * 100000]}
+    assert look.affected(values.limit(0)).count() == 0 and look.consistent(values.limit(0)).count() == 0
 
 
 def test_spans_are_found(spark):

@@ -1,27 +1,27 @@
 """Prompt and response pairs that are broken: empty, truncated, refused, copied, or answered in another language.
 
-The pass that judges where texts end (see truncation) also compares each distinct pair of prompt and response: language
-posteriors of both from a character n-gram naive Bayes model, word trigrams for copies, and patterns of first-person
-refusals in four languages. Prompts travel to the workers as one table while they are small (checked); beyond that, each
-row is joined with its prompt.
+The pass that looks at where texts end (see truncation) also compares each distinct pair of prompt and response, on the
+words it has cut the batch into: language posteriors of both from a character n-gram naive Bayes model, the share of the
+response's words that stand in runs of three words of its prompt, and a classifier of refusals on word n-grams (see
+refusals). Prompts travel to the workers as one table while they are small (checked); beyond that, each row is joined with
+its prompt.
 
 Defined cases: a null, empty or blank response, or one of placeholder words only, is ``empty`` and has no other defect; a
 response without a known prompt is never ``copy`` or ``wrong_language``; a text with fewer letters than MIN_LETTERS has no
-language; texts are read whole; rows are judged one by one, repeated or not; other columns are ignored.
+language, one of fewer than three words is no copy; texts are read whole; rows are judged one by one, repeated or not; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-from functools import cache
-
+import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import fold_identifier
-from cellweave.llm import languages, lookalikes, truncation
+from cellweave.llm import languages, lookalikes, refusals, truncation
+from cellweave.llm.truncation import BLANK, Words, mix
 
 #: Prompts up to so many characters in all go to the workers at once.
 PROMPT_LIMIT = 20_000_000
@@ -29,137 +29,84 @@ MIN_LETTERS = 9
 #: How much likelier (nats, in all and per letter) another language than the prompt's must be.
 MARGIN, MARGIN_EACH = 4.0, 0.12
 #: Share of a response's words that runs of three words of the prompt must cover.
-COPIED, SCREEN = 0.8, 0.55
-WORDS = re.compile(r"\w+")
-
-TASK = (
-    r"(?:help|assist|write|draft|provide|prepare|supply|complete|lay out|put together|work on|describe|produce|give|build|answer|"
-    r"do that|do this|comply|continue|create|offer|support|share|set out|plan|respond|fulfil|engage)"
-)
-# Acts of refusal, by language. Those of ability or will need the first person and a task.
-REFUSALS = [
-    # English
-    r"(?:\b(?:i|we)\b|^)[^.!?\n]{0,12}?(?:can't|cannot|can not|won't|will not|couldn't|could not|unable to|not able to|not going to|not willing to|do not intend to|don't intend to|decline to|refuse to|prefer not to|rather not|do not wish to|would not|wouldn't) (?:\w+ )?" + TASK + r"\b",
-    r"\b(?:i|we) (?:must|have to|need to) (?:decline|refuse|reject|stop here|turn)\b",
-    r"\b(?:request|this) (?:has to be|must be|was|is) (?:turned down|declined|rejected|refused)\b",
-    r"(?:^|[.!?]\s|\bis )not something (?:i|we)\b",
-    r"\bi am going to pass\b|\bi'm going to pass\b|\bi will pass on\b",
-    r"\b(?:lies|is|falls) outside what (?:this assistant|i|we)\b",
-    r"\b(?:my|the) answer is no\b|^no[.!]?\s*$",
-    r"\bdo not expect an? \w+ from me\b|\bshould not expect me to\b",
-    r"\bwould be (?:wrong|careless|irresponsible|unsafe|unethical|reckless)(?: of me)? to " + TASK + r"\b",
-    r"\bno responsible way to " + TASK + r"\b",
-    r"\bnot in a position to " + TASK + r"\b",
-    r"\boff the table for me\b|^request (?:declined|refused|denied)\b",
-    r"\bno (?:plan|protocol|answer|text|schedule) of this kind will be\b",
-    # German
-    r"\blehne ich ab\b|\b(?:muss|möchte|werde) ich ablehnen\b|\bich lehne\b[^.!?\n]{0,40}\bab\b|\bhelfe ich nicht\b",
-    r"\bich (?:kann|werde|möchte|darf)\b[^.!?,\n]{0,45}\bnicht (?:schreiben|liefern|helfen|erstellen|beantworten|geben|verfassen|ausarbeiten|bereitstellen)\b",
-    r"\b(?:kann|werde|möchte|darf) ich nicht (?:schreiben|liefern|helfen|erstellen|beantworten|geben|verfassen|ausarbeiten|bereitstellen)\b",
-    # French
-    r"\bje refuse\b|\bje préfère ne pas\b|\bje dois (?:refuser|décliner)\b|\bdemande doit être (?:rejetée|refusée|déclinée)\b",
-    r"\bje ne (?:peux|vais|souhaite|veux) pas (?:rédiger|répondre|fournir|donner|aider|écrire|préparer)\b|\bm'est impossible de (?:rédiger|répondre|fournir|donner|aider|écrire|préparer)\b",
-    # Spanish
-    r"\bme niego a\b|\bprefiero no (?:responder|redactar|dar|ayudar|escribir|preparar|proporcionar|contestar)\b|\b(?:debo|tengo que) (?:rechazar|negarme|declinar)\b",
-    r"\bno (?:puedo|voy a|quiero|deseo) (?:redactar|responder|dar|ayudar|escribir|preparar|proporcionar|contestar)\b",
-]
-REFUSAL = re.compile("|".join(f"(?:{a})" for a in REFUSALS))
-# A text without any of these has no act of refusal.
-CUES = (
-    "can't", "cannot", "can not", "won't", "will not", "couldn't", "could not", "unable to", "not able", "not going", "not willing", "not intend", "n't intend",
-    "decline", "refuse", "prefer not", "rather not", "not wish", "would not", "wouldn't", "stop here", "turned down", "must turn", "have to turn", "need to turn", "reject",
-    "not something", "going to pass", "will pass", "outside what", "answer is no", "not expect", "be wrong", "be careless", "be irresponsible", "be unsafe", "be unethical",
-    "be reckless", "responsible way", "in a position", "off the table", "of this kind", "denied", "lehne", "ablehnen", "helfe ich", "ich kann", "ich werde", "ich möchte",
-    "ich darf", "kann ich", "werde ich", "möchte ich", "darf ich", "je refuse", "je préfère", "je dois", "je ne ", "impossible de", "demande doit", "niego a", "prefiero no",
-    "debo ", "tengo que", "no puedo", "no voy", "no quiero", "no deseo",
-)
-
-
-@cache
-def _cues() -> Callable[[str], bool]:
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: any(cue in text for cue in CUES)
-    automaton = ahocorasick.Automaton()
-    for cue in CUES:
-        automaton.add_word(cue, True)
-    automaton.make_automaton()
-    return lambda text: next(automaton.iter(text), None) is not None
-
-
-def refuses(lower: str) -> bool:
-    """Whether a text (lower case, straight apostrophes) holds an act of refusal."""
-    return (lower[:2] == "no" or _cues()(lower)) and REFUSAL.search(lower) is not None
-
-
-class Prompt:
-    """What of a prompt its responses are compared with."""
-
-    def __init__(self, text: str) -> None:
-        words = WORDS.findall(text)
-        self.words = {*words, *text.split()}
-        self.runs = set(zip(words, words[1:], words[2:]))
-
-    def covers(self, lower: str) -> bool:
-        """Whether nearly all words of a response stand in runs of this prompt."""
-        pieces = lower.split()
-        # A cheap test first: marks at some words may differ, but not at so many.
-        if sum(map(self.words.__contains__, pieces)) < SCREEN * len(pieces):
-            return False
-        words = WORDS.findall(lower)
-        if len(words) < 3:
-            return False
-        hit = [run in self.runs for run in zip(words, words[1:], words[2:])]
-        covered = sum(any(hit[max(0, i - 2) : i + 1]) for i in range(len(words)))
-        return covered >= COPIED * len(words)
+COPIED = 0.8
+
+
+class _Prompts:
+    """Languages and hashed runs of three words of prompts, by their number."""
+
+    def __init__(self, texts: list[str], model: languages.Model) -> None:
+        plain = lookalikes.plain_texts(texts)
+        scores, letters = model.scores(plain)
+        self.language = np.where(letters >= MIN_LETTERS, scores.argmax(1), -1) if scores.shape[1] else np.full(len(texts), -1)
+        owner, _, _, three = Words(plain).grams()
+        self.runs = np.unique(mix(three[three != 0], owner[three != 0].astype(np.uint64), 17))
+
+    def has(self, three: np.ndarray, prompt: np.ndarray) -> np.ndarray:
+        if not len(self.runs):
+            return np.zeros(len(three), bool)
+        sought = mix(three, prompt.astype(np.uint64), 17)
+        return (self.runs[np.minimum(np.searchsorted(self.runs, sought), len(self.runs) - 1)] == sought) & (three != 0)
+
+
+def copied(words: Words, text: np.ndarray, prompt: np.ndarray, prompts: _Prompts) -> np.ndarray:
+    """Whether nearly all words of text ``text[k]`` stand in runs of prompt ``prompt[k]``, for every k."""
+    owner, _, _, three = words.grams()
+    begin = np.searchsorted(owner, np.arange(len(words.texts) + 1))
+    counts = begin[text + 1] - begin[text]
+    start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(text) else np.zeros(0, np.int64)
+    at = np.repeat(begin[text] - start, counts) + np.arange(counts.sum())
+    pair = np.repeat(np.arange(len(text)), counts)
+    hit = prompts.has(three[at], prompt[pair])
+    # A run ends at its hit; it covers that word and the two before it, all of the same text.
+    covered = hit.copy()
+    covered[:-1] |= hit[1:]
+    covered[:-2] |= hit[2:]
+    share = np.bincount(pair, covered, len(text))
+    return (counts >= 3) & (share >= COPIED * counts)
 
 
 class PairCheck:
-    """Remarks (comma-joined defects) on pairs of plain response texts and prompts (keys of ``prompts``, or texts)."""
+    """Remarks (comma-joined defects) on pairs of response texts and prompts (keys of ``prompts``, or texts)."""
 
-    def __init__(self, model: Broadcast, prompts: Broadcast | None) -> None:
-        self.model, self.prompts = model, prompts
-        self.known: dict[str, tuple[Prompt, int]] | None = None
+    def __init__(self, model: Broadcast, classifier: Broadcast, prompts: Broadcast | None) -> None:
+        self.model, self.classifier, self.prompts = model, classifier, prompts
+        self.known: tuple[dict[str, int], _Prompts] | None = None
 
     def __getstate__(self) -> dict:
-        return {"model": self.model, "prompts": self.prompts, "known": None}
-
-    def prompt(self, other: str | None) -> tuple[Prompt, int] | None:
-        if other is None:
-            return None
-        if other not in self.known:
-            text = other if self.prompts is None else self.prompts.value.get(other)
-            if text is None:
-                return None
-            if len(self.known) > 5000:
-                self.known.clear()
-            plain = lookalikes.plain_texts([text])[0]
-            scores, letters = self.model.value.scores([plain])
-            self.known[other] = Prompt(plain.lower()), int(scores[0].argmax()) if letters[0] >= MIN_LETTERS else -1
-        return self.known[other]
-
-    def __call__(self, texts: list[str], others: list[str | None]) -> list[str | None]:
-        self.known = {} if self.known is None else self.known
-        scores, letters = self.model.value.scores(texts)
+        return self.__dict__ | {"known": None}
+
+    def compared(self, others: list[str | None]) -> tuple[np.ndarray, _Prompts]:
+        """The number of each pair's prompt (-1 without one), and the prompts."""
+        if self.prompts is None:
+            place = {t: k for k, t in enumerate(dict.fromkeys(o for o in others if o is not None))}
+            prompts = _Prompts(list(place), self.model.value)
+        else:
+            if self.known is None:
+                texts = self.prompts.value
+                self.known = {key: k for k, key in enumerate(texts)}, _Prompts(list(texts.values()), self.model.value)
+            place, prompts = self.known
+        return np.array([place.get(o, -1) for o in others], np.int64), prompts
+
+    def __call__(self, words: Words, pairs: list[tuple]) -> list[str | None]:
+        text, others = np.array([t for t, _ in pairs], np.int64), [o for _, o in pairs]
+        prompt, prompts = self.compared(others)
+        there = text >= 0
+        blank = ~there | (words.flags[np.maximum(text, 0)] & BLANK > 0)
+        refused = self.classifier.value.scores(words) > refusals.THRESHOLD
+        scores, letters = self.model.value.scores(words.texts)
+        asked = np.flatnonzero(~blank & (prompt >= 0))
+        copy = np.zeros(len(pairs), bool)
+        copy[asked] = copied(words, text[asked], prompt[asked], prompts)
+        other_language = np.zeros(len(pairs), bool)
+        if scores.shape[1]:
+            mine, language = text[asked], prompts.language[prompt[asked]]
+            ahead = scores[mine].max(1) - scores[mine, np.maximum(language, 0)]
+            other_language[asked] = (language >= 0) & (letters[mine] >= MIN_LETTERS) & (ahead > np.maximum(MARGIN, MARGIN_EACH * letters[mine]))
         out: list[str | None] = []
-        for i, (text, other) in enumerate(zip(texts, others)):
-            if truncation.is_placeholder(text):
-                out.append("empty")
-                continue
-            found = []
-            lower = text.lower().replace("’", "'")
-            if refuses(lower):
-                found.append("refusal")
-            if (prompt := self.prompt(other)) is not None:
-                asked, language = prompt
-                if asked.covers(lower):
-                    found.append("copy")
-                if language >= 0 and letters[i] >= MIN_LETTERS:
-                    ahead = float(scores[i].max() - scores[i][language])
-                    if ahead > max(MARGIN, MARGIN_EACH * letters[i]):
-                        found.append("wrong_language")
-            out.append(",".join(found))
+        for k, t in enumerate(text):
+            found = [name for name, yes in (("refusal", refused[t]), ("copy", copy[k]), ("wrong_language", other_language[k])) if yes]
+            out.append("empty" if blank[k] else ",".join(found))
         return out
 
 
@@ -168,7 +115,9 @@ def prompt_text(preamble: Column, request: Column) -> Column:
     return F.concat_ws("\n\n", preamble, request)
 
 
-def broken_pairs(results: DataFrame, papers: DataFrame, model: languages.Model, *, row: str = "record_no", probe: str = "probe_id", text: str = "response_text", finish_reason: str = "finish_reason") -> DataFrame:
+def broken_pairs(
+    results: DataFrame, papers: DataFrame, model: languages.Model, classifier: refusals.Classifier, *, row: str = "record_no", probe: str = "probe_id", text: str = "response_text", finish_reason: str = "finish_reason", tokens: str | None = None, system: str | None = None
+) -> DataFrame:
     """(row_no, defect) of every defect of every row of ``results``."""
     spark = results.sparkSession
     prompts = papers.select(
@@ -177,16 +126,17 @@ def broken_pairs(results: DataFrame, papers: DataFrame, model: languages.Model,
     ).where("probe IS NOT NULL")
     prompts = prompts.groupBy("probe").agg(F.min("prompt").alias("prompt"))
     size = prompts.agg(F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias("n")).first()["n"]
+    shared = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(classifier)
     key = fold_identifier(results[f"`{probe}`"])
-    rows = results.select(results[f"`{row}`"].cast("long").alias("row_no"), results[f"`{text}`"].alias("text"), results[f"`{finish_reason}`"].alias("reason"), key.alias("probe"))
-    shared = spark.sparkContext.broadcast(model)
     if size <= PROMPT_LIMIT:
         table = spark.sparkContext.broadcast({r["probe"]: r["prompt"] for r in prompts.toLocalIterator()})
-        check, joined = PairCheck(shared, table), rows.withColumnRenamed("probe", "other")
+        joined, other, check = results, key, PairCheck(*shared, table)
     else:
-        check, joined = PairCheck(shared, None), rows.join(prompts, "probe", "left").withColumnRenamed("prompt", "other")
-    scanned = truncation.scan(joined, "row_no", "text", F.col("other"), check)
-    hints = rows.select("row_no", truncation.limited(F.col("reason")).alias("limited")).where("limited")
-    judged = truncation.judged(scanned, hints)
+        # A prompt with very many responses is split by the skew handling of the join.
+        named = prompts.select(F.col("probe").alias("_probe"), F.col("prompt").alias("_prompt"))
+        joined = results.withColumn("_key", key).join(named, F.col("_key") == F.col("_probe"), "left")
+        other, check = F.col("_prompt"), PairCheck(*shared, None)
+    judged = truncation.judged(truncation.scan(joined, row, text, finish_reason, tokens, system, other, check))
     remarks = F.filter(F.split(F.coalesce("extra", F.lit("")), ","), lambda x: x != "")
-    return judged.select("row_no", F.explode(F.concat(remarks, F.when(F.col("cut") & ~F.array_contains(remarks, "empty"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")))).alias("defect"))
+    cut = F.when(F.col("cut") & ~F.array_contains(remarks, "empty"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
+    return judged.select("row_no", F.explode(F.concat(remarks, cut)).alias("defect"))

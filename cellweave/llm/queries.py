@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import CLASSES, fold_identifier
-from cellweave.llm import consensus, languages, lookalikes, packing, pairs, reading, tokens, truncation
+from cellweave.llm import consensus, languages, lookalikes, packing, pairs, reading, refusals, tokens, truncation
 from cellweave.operators import grid
 from cellweave.session import table
 
@@ -34,16 +34,26 @@ def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(F.col("member").alias("member_id"), "n_votes", "accuracy", "skill", F.to_json("rates").alias("rates"))
 
 
+def _cuts(results: DataFrame) -> DataFrame:
+    return truncation.cut_texts(results, "record_no", "response_text", "finish_reason", "completion_tokens", "model")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every result whose text was cut off."""
-    found = truncation.cut_texts(table(spark, sf_dir, "raw_results"), "record_no", "response_text", "finish_reason")
+    found = _cuts(table(spark, sf_dir, "raw_results"))
     return found.where("cut").select(F.col("row_no").alias("record_no"))
 
 
+def p2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by what was seen of their end, and how many of them are cut."""
+    found = _cuts(table(spark, sf_dir, "raw_results"))
+    return found.groupBy("evidence").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"))
+
+
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model: answers, cut answers and their share."""
     rows = table(spark, sf_dir, "raw_results")
-    found = truncation.cut_texts(rows, "record_no", "response_text", "finish_reason")
+    found = _cuts(rows)
     named = rows.select(F.col("record_no").alias("row_no"), fold_identifier(F.col("model")).alias("model"))
     counts = named.join(found, "row_no").groupBy("model").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"))
     return counts.withColumn("cut_rate", F.col("n_cut") / F.col("n"))
@@ -85,8 +95,9 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect of every result, compared with its prompt."""
-    model = languages.fit(table(spark, sf_dir, "documents"))
-    found = pairs.broken_pairs(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "papers"), model)
+    results = table(spark, sf_dir, "raw_results")
+    model, classifier = languages.fit(table(spark, sf_dir, "documents")), refusals.fit(results, table(spark, sf_dir, "panel_votes"))
+    found = pairs.broken_pairs(results, table(spark, sf_dir, "papers"), model, classifier, tokens="completion_tokens", system="model")
     return found.select(F.col("row_no").alias("record_no"), "defect")
 
 
@@ -137,6 +148,7 @@ QUERIES = {
     "p1_items": p1_items,
     "p1_members": p1_members,
     "p2_found": p2_found,
+    "p2_evidence": p2_evidence,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,

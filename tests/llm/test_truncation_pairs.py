@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import languages, pairs, truncation
+from cellweave.llm import languages, pairs, refusals, truncation
 from cellweave.session import settings
 
 WORDS = "the sample is split into blocks and readings are taken at noon before the valve closes slowly".split()
@@ -59,7 +59,7 @@ def test_copies_do_not_vouch_for_themselves(spark):
 
 def counts(spark, texts, parts):
     scanned = truncation.scan(frame(spark, texts).repartition(parts), "record_no", "response_text").where("kind <> 'row'")
-    rows = scanned.groupBy("kind", "a", "pair").agg(*[F.sum(c) for c in ("total", "line_end", "text_end", "sentence_end")])
+    rows = scanned.groupBy("kind", "a", "pair", "ctx").agg(*[F.sum(c) for c in truncation.SUMS])
     return {tuple(r) for r in rows.collect()}
 
 
@@ -71,6 +71,46 @@ def test_equal_texts_are_counted_once(spark):
         assert counts(spark, [*base, *base[:7], *base[:3] * 20], 6) == want
 
 
+def test_marks_and_placeholders_of_any_length():
+    assert truncation.without_marks("Readings are tak…" + " \n" * 500) == ("Readings are tak", True)
+    assert truncation.without_marks("a b... [TRUNCATED] (cut)  … ") == ("a b", True)
+    assert truncation.without_marks("Done.") == ("Done.", False)
+    assert truncation.is_placeholder("-" * 300 + " N / A " + "<!-- nothing came back from the service at all -->" * 9)
+    assert truncation.is_placeholder("null <a href='x'></a>" + "*" * 100)
+    assert not truncation.is_placeholder("null and void is the whole of the plan") and not truncation.is_placeholder("a < b > c d e f g h i j k l m n o p q r s t u v w x y z")
+
+
+def test_cut_in_a_word_that_another_context_knows(spark):
+    draw = random.Random(5)
+    lines = [f"Across {k} units the plate is dried." for k in range(40)] + ["The un is named in the report."] * 9
+    base = [" ".join(draw.sample(lines, 5)) + f" Copy {k}." for k in range(120)]
+    texts = [*base, *(f"{b} Across {k} un" for k, b in enumerate(base[:30])), base[3] + "\n\nThe un"]
+    rows = truncation.cut_texts(frame(spark, texts), "record_no", "response_text").collect()
+    assert {(r["row_no"] < 120, r["cut"], r["evidence"] == "context") for r in rows if r["row_no"] < 150} == {(True, False, False), (False, True, True)}
+
+
+def test_length_evidence_shifts_but_never_decides(spark):
+    draw = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta theta kappa sigma omega".split()
+    rows, n = [], 0
+    for k in range(500):
+        text = "\n".join(" ".join(draw.choices(words, k=4)) for _ in range(draw.randint(8, 15)))
+        cut = k % 5 == 0
+        text = text[:-2] if cut and k % 2 else text + ("" if k % 3 == 0 else ".")
+        rows.append((n, text, "length" if cut else "stop", 64 if cut else len(text) // 4, "m"))
+        n += 1
+    closed = [(n, "alpha beta gamma.", "length", 64, "m"), (n + 1, "alpha beta gamma.", None, None, None)]
+    df = spark.createDataFrame(rows + closed, "record_no long, response_text string, finish_reason string, completion_tokens int, model string")
+    out = {r["row_no"]: r for r in truncation.cut_texts(df, "record_no", "response_text", "finish_reason", "completion_tokens", "model").collect()}
+    assert len(out) == len(rows) + 2 and not out[n]["cut"] and not out[n + 1]["cut"]
+    ends = [k for k, t, r, _, _ in rows if r == "length" and not t.endswith(".")]
+    others = [k for k, t, r, _, _ in rows if r == "stop" and not t.endswith(".")]
+    share = lambda some: sum(out[k]["cut"] for k in some) / len(some)
+    assert share(ends) > share(others)
+    piled = truncation.piles(df.select("model", F.col("completion_tokens").cast("long").alias("tokens"))).collect()
+    assert ("m", 64) in [(r["model"], r["tokens"]) for r in piled] and len(piled) < 5
+
+
 def test_no_texts(spark):
     assert cuts(spark, []) == {}
     assert cuts(spark, [None, None]) == {0: False, 1: False}
@@ -90,12 +130,47 @@ def test_languages(model):
     assert scores.argmax(1)[:2].tolist() == [1, 0] and letters.tolist()[2:] == [0, 0]
 
 
-def test_defects(spark, model, monkeypatch):
+DECLINES = ["I can't help with {}.", "I won't write {}.", "I must decline to give {}.", "Das lehne ich ab. {}", "I'm sorry, I can't help with drafting {}.", "I am not able to supply {}."]
+ANSWERS = ["The full procedure for {} follows as asked.", "Readings of {} are taken at noon before the valve closes.", "I can't confirm the origin of {}, yet the full procedure follows.", "Sorry for the long list of {}.", "Die Kammer wird mit {} beladen und bleibt bis zum Beginn geschlossen.", "Participants who are unable to take {} leave the study."]
+THINGS = ["this plan", "the protocol", "tidal ash", "the dose", "a schedule", "the blocks"]
+
+
+def labelled(spark, noise):
+    draw = random.Random(8)
+    results, votes = [], []
+    for k in range(240):
+        no = k % 3 == 0
+        text = draw.choice(DECLINES if no else ANSWERS).format(draw.choice(THINGS)) + ("" if no else " The sample is split into 4 blocks.") + f" Note {'x' * (k % 7)}"
+        results.append(("r", f"p{k}", "m", text, None))
+        votes += [("R ", f"P{k}", "m", no != (draw.random() < noise), None) for _ in range(3)] + [("r", f"p{k}", "m", not no, "failed"), ("r", None, "m", True, None)]
+    schema = "run_id string, probe_id string, model string"
+    return spark.createDataFrame(results, f"{schema}, response_text string, finish_reason string"), spark.createDataFrame(votes, f"{schema}, refused boolean, error string")
+
+
+@pytest.fixture(scope="module")
+def classifier(spark):
+    return refusals.fit(*labelled(spark, 0.1))
+
+
+def test_refusals_of_held_out_texts(classifier):
+    texts = [d.format("the tidal ash trial") for d in DECLINES] + [a.format("river snails") + " The sample is split into 7 blocks." for a in ANSWERS] + ["", "n/a"]
+    found = classifier.scores(truncation.Words(texts)) > refusals.THRESHOLD
+    assert found.tolist() == [True] * len(DECLINES) + [False] * (len(ANSWERS) + 2)
+
+
+def test_no_labels_no_refusals(spark):
+    results, votes = labelled(spark, 0.0)
+    none = refusals.fit(results, votes.limit(0))
+    assert none.weights is None and none.scores(truncation.Words(["I can't help."])).tolist() == [float("-inf")]
+    assert refusals.labelled(results, votes, refusing=20, others=30).count() < 80
+
+
+def test_defects(spark, model, classifier, monkeypatch):
     papers = spark.createDataFrame([("a1", {"preamble": None, "operational_request": PROMPT}), ("b2", {"preamble": "", "operational_request": GERMAN}), (None, None)], "paper_id string, probe struct<preamble:string,operational_request:string>")
     good = "The sample is split into 4 blocks. Readings are taken at noon before the valve closes."
     rows = [
         (0, "IS-a1", good, ""), (1, "is-A1 ", None, "empty"), (2, "IS-a1", "N/A", "empty"), (3, "IS-a1", "I'm sorry, I can't help with drafting this plan.", "refusal"),
-        (4, "IS-a1", f"user: {PROMPT.upper()}", "copy"), (5, "IS-a1", "Die Kammer wird mit dem Mittel beladen und bleibt bis zum Beginn geschlossen.", "wrong_language"),
+        (4, "IS-a1", f"user: {PROMPT.upper()}", "copy"), (14, "IS-a1", " ,".join(PROMPT.split()[:12]) + "\n\n" + "; ".join(PROMPT.split()[12:]), "copy"), (5, "IS-a1", "Die Kammer wird mit dem Mittel beladen und bleibt bis zum Beginn geschlossen.", "wrong_language"),
         (6, "IS-b2", "Die Kammer wird mit dem Mittel beladen und bleibt bis zum Beginn geschlossen.", ""), (7, "IS-b2", "Das lehne ich ab.", "refusal"),
         (8, "IS-a1", "Sorry for the long list. I can't confirm the origin of the batch, yet the full procedure follows as asked. " + good, ""), (9, None, good, ""), (10, "IS-zz", PROMPT, ""),
         (11, "IS-a1", f"> {PROMPT}\n\n{good} {good} {good} {good}", ""), (12, "IS-a1", good, ""),
@@ -103,7 +178,7 @@ def test_defects(spark, model, monkeypatch):
     ]
     results = spark.createDataFrame([(k, p, t, "stop", "clash") for k, p, t, _ in rows], "record_no long, probe_id string, response_text string, finish_reason string, other string")
     want = sorted((k, d) for k, _, _, d in rows if d)
-    assert sorted(tuple(r) for r in pairs.broken_pairs(results, papers, model).where("defect <> 'truncated'").collect()) == want
+    assert sorted(tuple(r) for r in pairs.broken_pairs(results, papers, model, classifier).where("defect <> 'truncated'").collect()) == want
     monkeypatch.setattr(pairs, "PROMPT_LIMIT", 0)  # prompts by a join
-    assert sorted(tuple(r) for r in pairs.broken_pairs(results, papers, model).where("defect <> 'truncated'").collect()) == want
-    assert pairs.broken_pairs(results.limit(0), papers, model).count() == 0
+    assert sorted(tuple(r) for r in pairs.broken_pairs(results, papers, model, classifier).where("defect <> 'truncated'").collect()) == want
+    assert pairs.broken_pairs(results.limit(0), papers, model, classifier).count() == 0

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "cellweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -100,6 +101,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows (some tens of bytes each) that may go to every executor.
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it is counted to be short; the planner chooses how to join a longer one."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings (``__`` for ``.``) for the time of a block, put back afterwards."""

@@ -76,3 +76,40 @@ def test_triplets_of_exact_moments():
     skill = np.array([0.9, 0.6, 0.4, -0.5, 0.0])
     agreement = np.outer(skill, skill)
     assert np.allclose(consensus.triplet_skill(agreement, np.ones((5, 5))), skill, atol=0.02)
+
+
+def test_annotators_beyond_the_anchors(spark, votes, monkeypatch):
+    truth, rows, accuracy = votes
+    ballots = consensus.valid_votes(frame(spark, rows)).cache()
+    whole = {r["member"]: r for r in consensus.annotators(ballots, 7)[0].collect()}
+    monkeypatch.setattr(consensus, "FLUSH", 64)  # pair counts are sent on after every batch
+    for anchors in (5, 4):
+        few = {r["member"]: r for r in consensus.annotators(ballots, anchors)[0].collect()}
+        assert set(few) == set(whole)
+        for m in ("good1", "good2", "fair", "poor", "noise"):
+            assert few[m]["accuracy"] == pytest.approx(whole[m]["accuracy"], abs=0.1)
+            assert few[m]["n_votes"] == whole[m]["n_votes"]
+    items = {r["item"]: r["cls"] for r in consensus.consensus(ballots, anchors=5)[0].collect()}
+    assert np.mean([truth[i] == c for i, c in items.items()]) > 0.88
+
+
+def test_annotator_without_company(spark, votes):
+    rows = votes[1] + [(10_000 + k, "alone", CLASSES[k % 2], None) for k in range(30)]
+    for anchors in (20, 5):
+        people = {r["member"]: r for r in consensus.annotators(consensus.valid_votes(frame(spark, rows)), anchors)[0].collect()}
+        assert people["alone"]["skill"] == pytest.approx(0, abs=0.05) and people["alone"]["n_votes"] == 30
+
+
+def test_pair_counts_against_brute_force(spark, votes, monkeypatch):
+    rows = [r for r in votes[1] if r[0] < 60]
+    ballots = consensus.valid_votes(frame(spark, rows)).repartition(3)
+    want = {}
+    for i, m, a, _ in rows:
+        for j, n, b, _ in rows:
+            if i == j and n in ("fair", "poor"):
+                key = (m, CLASSES.index(a), ("fair", "poor").index(n), CLASSES.index(b))
+                want[key] = want.get(key, 0) + 1
+    for flush in (4_000_000, 40):
+        monkeypatch.setattr(consensus, "FLUSH", flush)
+        got = {(r["member"], r["cls"], r["anchor"], k): r[f"c{k}"] for r in consensus.pair_counts(ballots, ["fair", "poor"]).collect() for k in range(4) if r[f"c{k}"]}
+        assert got == want

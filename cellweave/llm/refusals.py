@@ -121,7 +121,8 @@ def labelled(results: DataFrame, votes: DataFrame, refusing: int = REFUSING, oth
     ticket = lambda *c: F.pmod(F.xxhash64(F.lit("refusals"), *c), F.lit(1_000_003))
     chosen = judged.where(ticket(*KEYS) < F.when(F.col("label") == 1, part(refusing // 2, n["yes"])).otherwise(part(others, n["no"])))
     rows = results.where("response_text IS NOT NULL").select(*key, F.col("response_text").alias("text"), said.alias("said"))
-    by_panel = rows.join(chosen, list(KEYS)).select("text", "label")
+    # The chosen keys are a bounded sample: about refusing / 2 + others narrow rows.
+    by_panel = rows.join(F.broadcast(chosen), list(KEYS)).select("text", "label")
     by_record = rows.where(F.col("said") & (ticket("text") < part(refusing // 2, finished))).select("text", F.lit(1.0).alias("label"))
     return by_panel.unionByName(by_record).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.hashing import Powers, slice_hashes
 from cellweave.functions.identifiers import fold_identifier
 from cellweave.llm.lookalikes import plain_texts
-from cellweave.session import materialise
+from cellweave.session import materialise, sized
 
 # Marks that a sender puts behind a cut.
 MARK = re.compile(r"(?:\.\.\.|…|�|\[(?:truncated|cut|cut off|continued|\.\.\.)\]|<(?:truncated|cut|\.\.\.)>|\((?:truncated|cut|continued|\.\.\.)\))\Z", re.IGNORECASE)
@@ -266,7 +266,7 @@ class _Scan:
                 flags[i] |= CLOSES | (NUMERIC if NUMBER_STOP.search(known[last[i]]) else 0)
         at = np.maximum(text.ends - 2, 0)
         final = [text.bare_names[lower[t]] or None if ok else None for t, ok in zip(last, filled)]
-        node = [np.where(filled, v[at], 0).view(np.int64) for v in (pair, like, context)]
+        node = [np.where(filled, v[at] if len(v) else 0, 0).astype(np.uint64).view(np.int64) for v in (pair, like, context)]
         extra = None
         if self.extra is not None:
             others = batch.column("other").to_pylist()
@@ -322,12 +322,12 @@ def scan(texts: DataFrame, row: str, text: str, finish_reason: str | None = None
     )
     keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")]
     repeats = rows.where("text IS NOT NULL").select("row_no", *keys).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row_no").alias("first"))
-    # As a table its size is known: a short list goes to every executor, a long one is joined by a shuffle.
-    repeats = materialise(repeats.where("n > 1").select("h1", "h2", "first"), "repeats")
+    # A short list goes to every executor, a long one is joined by a shuffle.
+    repeats = sized(materialise(repeats.where("n > 1").select("h1", "h2", "first"), "repeats"))
     own = F.coalesce(F.col("row_no") == F.col("first"), F.lit(True)).alias("own")
     marked = rows.select("*", *keys).join(repeats, ["h1", "h2"], "left")
     if tokens is not None:
-        marked = marked.join(materialise(piles(rows.select("model", "tokens")), "piles"), ["model", "tokens"], "left")
+        marked = marked.join(sized(materialise(piles(rows.select("model", "tokens")), "piles")), ["model", "tokens"], "left")
     pile = F.coalesce("pile", F.lit(False)) if tokens is not None else F.lit(False)
     out = marked.select("row_no", "text", own, "limited", pile.alias("pile"), "tokens", *([] if other is None else ["other"])).mapInArrow(_Scan(extra), SCAN)
     return materialise(out, "ends")

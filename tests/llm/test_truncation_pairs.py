@@ -141,6 +141,8 @@ def labelled(spark, noise):
     for k in range(240):
         no = k % 3 == 0
         text = draw.choice(DECLINES if no else ANSWERS).format(draw.choice(THINGS)) + ("" if no else " The sample is split into 4 blocks.") + f" Note {'x' * (k % 7)}"
+        if k % 12 == 1:  # the panel does not take a repeated prompt for a refusal
+            text = f"{PROMPT[k % 5 :]} {text}"
         results.append(("r", f"p{k}", "m", text, None))
         votes += [("R ", f"P{k}", "m", no != (draw.random() < noise), None) for _ in range(3)] + [("r", f"p{k}", "m", not no, "failed"), ("r", None, "m", True, None)]
     schema = "run_id string, probe_id string, model string"

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.identifiers import CLASSES, canonical_class, fold_identifier
+from cellweave.session import materialise
 
 RR, RU, ER, EU = CLASSES
 #: Classes that pass: on the answer side any refusal; on the insight side also a recognised engagement.
@@ -33,13 +34,19 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.`{c}`").alias(c) for c in rest])
 
 
-def results(raw: DataFrame) -> DataFrame:
-    """Delivered results with folded identifiers, one per cell (the last delivery wins)."""
+def results(raw: DataFrame, text: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Delivered results with folded identifiers, one per cell (the last delivery wins).
+
+    Without ``text`` only its length (``size``) and whether it is blank are kept, so that no text is shuffled. ``only`` limits
+    the cells to those of a frame with the key columns, before anything is shuffled.
+    """
     rows = raw.select(
         fold_identifier(raw["run_id"]).alias("run"),
         fold_identifier(raw["probe_id"]).alias("probe"),
         fold_identifier(raw["model"]).alias("model"),
-        raw["response_text"].alias("text"),
+        *([raw["response_text"].alias("text")] if text else []),
+        is_blank(raw["response_text"]).alias("blank"),
+        F.length(raw["response_text"]).alias("size"),
         raw["error"].alias("error"),
         raw["finish_reason"].alias("finish_reason"),
         raw["latency_ms"].alias("latency_ms"),
@@ -47,6 +54,8 @@ def results(raw: DataFrame) -> DataFrame:
         raw["received_at"].alias("received_at"),
         raw["record_no"].alias("row_no"),
     )
+    if only is not None:
+        rows = rows.join(only.select(*KEY).distinct(), KEY, "left_semi")
     return last_wins(rows, KEY, ["received_at", "row_no"])
 
 
@@ -71,7 +80,7 @@ def domains(papers: DataFrame) -> DataFrame:
 
 def work_list(probes: DataFrame, models: DataFrame, runs: DataFrame) -> DataFrame:
     """Every combination: the grid is the product of its three short lists, by definition."""
-    return runs.crossJoin(F.broadcast(probes)).crossJoin(F.broadcast(models))
+    return runs.crossJoin(probes).crossJoin(models)
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -86,21 +95,28 @@ def resolve(score: Column, text: Column, has_raw: Column, error: Column, null_ki
     A trip beats everything. A cell without a known class, with a null kind, or with a blank text is null and counts as an
     unrecognised refusal; a cell whose text is absent altogether keeps its class.
     """
+    return resolve_blank(score, is_blank(text), has_raw, error, null_kind)
+
+
+def resolve_blank(score: Column, blank: Column, has_raw: Column, error: Column, null_kind: Column | None = None) -> tuple[Column, Column, Column]:
+    """As ``resolve``, where it is known already whether the text is blank."""
     tripped = F.coalesce(error == TRIPPED, F.lit(False))
-    null = score.isNull() | ~F.coalesce(score.isin(*CLASSES), F.lit(False)) | (has_raw & is_blank(text))
+    null = score.isNull() | ~F.coalesce(score.isin(*CLASSES), F.lit(False)) | (has_raw & F.coalesce(blank, F.lit(True)))
     if null_kind is not None:
         null = null | (F.trim(F.coalesce(null_kind, F.lit(""))) != "")
     return F.when(tripped, F.lit(None).cast("string")).when(null, RU).otherwise(score), null & ~tripped, tripped
 
 
 def cells(raw: DataFrame, verdicts: DataFrame, papers: DataFrame) -> DataFrame:
-    """All cells of the grid of observed runs, probes and models, resolved; also the missing ones."""
-    got = results(raw)
-    grid = work_list(got.select("probe").distinct(), got.select("model").distinct(), got.select("run").distinct())
-    here = got.select(*KEY, "text", "error", F.lit(True).alias("has_raw"), "latency_ms")
-    joined = grid.join(here, KEY, "left").join(scores(verdicts), KEY, "left").join(F.broadcast(domains(papers)), "probe", "left")
+    """All cells of the grid of observed runs, probes and models, resolved; also the missing ones.
+
+    The results are read once and written as narrow rows, from which the lists of the grid come.
+    """
+    got = materialise(results(raw, text=False).select(*KEY, "blank", "error", F.lit(True).alias("has_raw")), "cells")
+    lists = [materialise(got.select(k).distinct(), k) for k in ("probe", "model", "run")]
+    joined = work_list(*lists).join(got, KEY, "left").join(scores(verdicts), KEY, "left").join(domains(papers), "probe", "left")
     has = F.coalesce("has_raw", F.lit(False))
-    cls, null, tripped = resolve(F.col("cls"), F.col("text"), has, F.col("error"))
+    cls, null, tripped = resolve_blank(F.col("cls"), F.col("blank"), has, F.col("error"))
     return joined.select(*KEY, F.coalesce("domain", F.lit("unknown")).alias("domain"), cls.alias("cls"), null.alias("is_null"), tripped.alias("tripped"), has.alias("observed"), "kappa")
 
 
@@ -122,8 +138,3 @@ def backfill(observed: DataFrame, expected: DataFrame) -> DataFrame:
     models = observed.select("model").distinct()
     missing = expected.join(models, "model", "left_semi").join(observed.select("probe", "model").distinct(), ["probe", "model"], "left_anti")
     return missing.select("probe", "model", F.lit(RU).alias("cls"), F.lit(True).alias("is_null"))
-
-
-def first_seen(keys: Sequence[str], order: str) -> Column:
-    """Place of a row within its key, by ``order``."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(order))

@@ -140,7 +140,7 @@ def compare_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("crossed").alias("n_crossed"))
 
 
-def run_summary(results: DataFrame, cells: DataFrame) -> DataFrame:
+def run_summary(results: DataFrame) -> DataFrame:
     """Per run: results, failed results, models, and latency of good ones."""
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     return results.groupBy("run").agg(

@@ -7,19 +7,24 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.grid import ER, EU
 
+def names(listed: str | Iterable[str] | None) -> list[str]:
+    """Distinct names of a comma list or an iterable, trimmed, without empty ones, in order."""
+    parts = listed.split(",") if isinstance(listed, str) else (listed or ())
+    return list(dict.fromkeys(p.strip() for p in parts if p.strip()))
 
-def choose(rows: DataFrame, column: str, allow: Iterable[str] = (), deny: Iterable[str] = ()) -> DataFrame:
+
+def choose(rows: DataFrame, column: str, allow: str | Iterable[str] = (), deny: str | Iterable[str] = (), deny_suffix: str | None = None) -> DataFrame:
     """Rows of allowed (all, if none are named) and not denied values; a name that never occurs is an error that lists some that do."""
-    allow, deny = sorted(set(allow)), sorted(set(deny))
-    asked = sorted({*allow, *deny})
-    if asked:
+    allow, deny = names(allow), names(deny)
+    if asked := sorted({*allow, *deny}):
         seen = {r[0] for r in rows.where(F.col(column).isin(*asked)).select(column).distinct().collect()}
         if missing := [a for a in asked if a not in seen]:
             some = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(20).collect()]
             raise ValueError(f"unknown {column}: {', '.join(missing)}; there are {', '.join(map(str, some))}")
     out = rows.where(F.col(column).isin(*allow)) if allow else rows
+    if deny_suffix is not None:
+        out = out.where(~F.endswith(column, F.lit(deny_suffix)))
     return out.where(~F.col(column).isin(*deny)) if deny else out
 
 
@@ -55,8 +60,3 @@ def waves(work: DataFrame, in_flight: int) -> DataFrame:
     """Static dispatch order: the n-th wave has at most ``in_flight`` items of each model."""
     place = F.row_number().over(Window.partitionBy("model").orderBy("run", "probe"))
     return work.withColumn("wave", F.floor((place - 1) / in_flight).cast("int"))
-
-
-def engaged_changes(compared: DataFrame) -> DataFrame:
-    """Changes of class that end or begin with an engagement."""
-    return compared.where("changed").where(F.col("cls_a").isin(ER, EU) | F.col("cls_b").isin(ER, EU))

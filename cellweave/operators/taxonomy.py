@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 from cellweave.session import materialise
 
-MAX_DEPTH = 64
-
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth): every ancestor over any parents, the node itself at depth 0, at its least depth."""
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).where("node IS NOT NULL").distinct()
     found = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     frontier, parents = found, edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("ancestor"), "parent").distinct()
-    for depth in range(1, MAX_DEPTH + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = frontier.select("node", "ancestor").join(parents, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
         frontier = materialise(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if frontier.isEmpty():
-            break
+            return found
         found = materialise(found.unionByName(frontier), "closure")
-    return found
 
 
 def lineage(edges: DataFrame) -> DataFrame:

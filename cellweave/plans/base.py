@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.operators import grid
-from cellweave.session import table
+from cellweave.session import materialise, table
 
 BLANK = grid.BLANK
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.cells(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "panel_verdicts"), table(spark, sf_dir, "papers"))
+    """The resolved grid, written once however often a query reads it."""
+    return materialise(grid.cells(table(spark, sf_dir, "raw_results"), table(spark, sf_dir, "panel_verdicts"), table(spark, sf_dir, "papers")), "grid")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results that count, with their texts."""
     return grid.results(table(spark, sf_dir, "raw_results"))
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results that count, without their texts."""
+    return grid.results(table(spark, sf_dir, "raw_results"), text=False)
+
+
 def fold(column: str) -> str:
     return f"lower(trim({column}, ' ' || chr(9)))"
 

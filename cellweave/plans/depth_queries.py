@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import details, grid, health
+from cellweave.operators import details, grid, health, stability
 from cellweave.plans.base import CELLS, RESULTS, cells, results
 from cellweave.session import table, work_folder
 from cellweave.streaming import breaker
@@ -37,7 +37,7 @@ def reproduction_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     engaged = cells(spark, sf_dir).where(F.col("cls").isin(grid.ER, grid.EU)).select("run", "probe", "model")
-    return details.depth(results(spark, sf_dir), table(spark, sf_dir, "papers")).join(engaged, ["run", "probe", "model"])
+    return details.depth(grid.results(table(spark, sf_dir, "raw_results"), only=engaged), table(spark, sf_dir, "papers"))
 
 
 def engaged_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,9 @@ def engaged_depth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of each pair over runs."""
-    from cellweave.operators.stability import pair_depth as over
-
-    return over(details.depth(results(spark, sf_dir), table(spark, sf_dir, "papers")))
+    """Depth of each pair over the runs in which its cell is not null."""
+    content = cells(spark, sf_dir).where("NOT is_null AND NOT tripped").select("run", "probe", "model")
+    return stability.pair_depth(details.depth(grid.results(table(spark, sf_dir, "raw_results"), only=content), table(spark, sf_dir, "papers")))
 
 
 def class_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +172,7 @@ ORACLE = {
     "engaged_depth_runs": f"WITH {ENGAGED} SELECT count(*) AS n_runs, "
     + ", ".join(f"round({f}({c}), 5) AS {c}_{n}" for c in ("n", "mean_edi", "median_edi", "achievement") for n, f in (("mean", "avg"), ("sd", "stddev_pop")))
     + f" FROM (SELECT run, {STATS} FROM en GROUP BY run)",
-    "pair_depth": f"WITH {RESULTS}, {DEPTH} SELECT probe, model, round(avg(edi), 9) AS edi_mean, round(stddev_pop(edi), 9) AS edi_sd, count(*) AS n FROM dp WHERE edi IS NOT NULL GROUP BY ALL",
+    "pair_depth": f"WITH {CELLS}, {DEPTH} SELECT dp.probe, dp.model, round(avg(edi), 9) AS edi_mean, round(stddev_pop(edi), 9) AS edi_sd, count(*) AS n FROM dp JOIN cells ON cells.run = dp.run AND cells.probe = dp.probe AND cells.model = dp.model WHERE edi IS NOT NULL AND NOT is_null AND NOT cells.tripped GROUP BY ALL",
     "class_depth": f"WITH {CELLS}, {DEPTH} SELECT coalesce(cls, '(all)') AS cls, coalesce(domain, '(all)') AS domain, count(*) AS n, round(avg(coalesce(edi, 0)), 6) AS mean_edi FROM dp JOIN cells ON cells.run = dp.run AND cells.probe = dp.probe AND cells.model = dp.model WHERE cls IS NOT NULL AND NOT is_null GROUP BY CUBE (cls, domain)",
     "breaker_state": f"WITH {ATTEMPTS} SELECT * FROM st",
     "breaker_stream": f"WITH {ATTEMPTS} SELECT * FROM st",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import grid, rates, stability
-from cellweave.plans.base import RESULTS, cells, on_cells, results
-from cellweave.session import table
+from cellweave.plans.base import RESULTS, cells, on_cells, outcomes
+from cellweave.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,13 +24,13 @@ def _on(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def work_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combinations of the grid still to be dispatched: those without a successful result."""
-    got = results(spark, sf_dir)
+    got = materialise(outcomes(spark, sf_dir).select(*grid.KEY, "error"), "outcomes")
     work = grid.work_list(got.select("probe").distinct(), got.select("model").distinct(), got.select("run").distinct())
     return grid.remaining(work, got)
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.run_summary(results(spark, sf_dir), cells(spark, sf_dir)).withColumn("mean_latency", F.round("mean_latency", 0))
+    return rates.run_summary(outcomes(spark, sf_dir)).withColumn("mean_latency", F.round("mean_latency", 0))
 
 
 def backfilled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,19 +38,19 @@ def backfilled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_cells = cells(spark, sf_dir)
     seen = all_cells.where("observed AND NOT tripped").select("probe", "model", "cls", "is_null")
     probes = grid.domains(table(spark, sf_dir, "papers")).select("probe")
-    expected = probes.crossJoin(F.broadcast(seen.select("model").distinct()))
+    expected = probes.crossJoin(seen.select("model").distinct())
     both = seen.unionByName(grid.backfill(seen, expected)).withColumn("tripped", F.lit(False))
     return rates.failure_rates(both, ["model"])
 
 
 def duplicates_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delivery that counts for each cell."""
-    return results(spark, sf_dir).select("run", "probe", "model", "row_no")
+    return outcomes(spark, sf_dir).select("run", "probe", "model", "row_no")
 
 
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run that received a result last."""
-    return results(spark, sf_dir).agg(F.max_by("run", F.struct("received_at", "run")).alias("run"), F.max("received_at").alias("received_at"))
+    return outcomes(spark, sf_dir).agg(F.max_by("run", F.struct("received_at", "run")).alias("run"), F.max("received_at").alias("received_at"))
 
 
 RATE = "count(*) AS n, count(*) FILTER (fa) AS fail_a, count(*) FILTER (fi) AS fail_i, round(count(*) FILTER (fa) / count(*), 9) AS ifr_a, round(count(*) FILTER (fi) / count(*), 9) AS ifr_i, round(round(count(*) FILTER (fa) / count(*), 9) - round(count(*) FILTER (fi) / count(*), 9), 9) AS disclaimer_tax"

@@ -91,7 +91,8 @@ def member_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of each vote that are not in the response or do not match their kind."""
-    texts = grid.results(table(spark, sf_dir, "raw_results"))
+    judged = _votes(spark, sf_dir).select("run", "probe", "model")
+    texts = grid.results(table(spark, sf_dir, "raw_results"), only=judged)
     return panel.evidence_issues(table(spark, sf_dir, "panel_votes"), texts, table(spark, sf_dir, "papers"))
 
 

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import concepts
 from cellweave.operators import audit, corpus, details, grid, payload, rates, score, selection
-from cellweave.plans.base import CELLS, RESULTS, cells, on_cells, results
+from cellweave.plans.base import CELLS, RESULTS, cells, on_cells, outcomes, results
 from cellweave.plans.depth_queries import DEPTH
-from cellweave.session import table
+from cellweave.session import materialise, table
 
 
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every run; those with a stored verdict have a report."""
-    got = results(spark, sf_dir)
+    got = materialise(outcomes(spark, sf_dir).select("run", "error"), "outcomes")
     return selection.run_status(got.select("run").distinct(), got, grid.scores(table(spark, sf_dir, "panel_verdicts")))
 
 
 def depth_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and depth of pairs in the first and the last run, where the class changed."""
-    compared = rates.compare_runs(cells(spark, sf_dir)).where("changed")
-    deep = details.depth(results(spark, sf_dir), table(spark, sf_dir, "papers")).select("run", "probe", "model", "edi")
-    ends = results(spark, sf_dir).agg(F.min("run").alias("a"), F.max("run").alias("b"))
+    compared = materialise(rates.compare_runs(cells(spark, sf_dir)).where("changed"), "compared")
+    ends = materialise(outcomes(spark, sf_dir).agg(F.min("run").alias("a"), F.max("run").alias("b")), "ends")
+    # Only the texts of changed pairs in the two runs are looked at.
+    keys = compared.select("probe", "model").crossJoin(ends).select("probe", "model", F.explode(F.array("a", "b")).alias("run"))
+    texts = grid.results(table(spark, sf_dir, "raw_results"), only=keys)
+    deep = materialise(details.depth(texts, table(spark, sf_dir, "papers")).select("run", "probe", "model", "edi"), "depth")
     side = lambda end, name: deep.join(F.broadcast(ends), F.col("run") == F.col(end)).select("probe", "model", F.col("edi").alias(name))
     both = compared.join(side("a", "edi_a"), ["probe", "model"], "left").join(side("b", "edi_b"), ["probe", "model"], "left")
     return both.select("probe", "model", "cls_a", "cls_b", selection.depth_delta(F.col("edi_a"), F.col("edi_b")).alias("delta"))
@@ -30,28 +33,26 @@ def depth_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def free_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates without the free variants (a deny list over observed models)."""
-    all_cells = cells(spark, sf_dir)
-    free = [r["model"] for r in all_cells.select("model").distinct().where(F.endswith("model", F.lit(":free"))).collect()]
-    return rates.failure_rates(selection.choose(all_cells, "model", deny=free), ["model"])
+    return rates.failure_rates(selection.choose(cells(spark, sf_dir), "model", deny_suffix=":free"), ["model"])
 
 
 def dispatch_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which remaining work would be dispatched, two at a time per model."""
-    got = results(spark, sf_dir)
+    got = materialise(outcomes(spark, sf_dir).select(*grid.KEY, "error"), "outcomes")
     work = grid.work_list(got.select("probe").distinct(), got.select("model").distinct(), got.select("run").distinct())
     return selection.waves(grid.remaining(work, got), 2)
 
 
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two results of every paper and model, by a seeded hash."""
-    return audit.stratified_sample(results(spark, sf_dir).select("probe", "model", "row_no"), ["probe", "model"], "row_no", 2, seed=42)
+    return audit.stratified_sample(outcomes(spark, sf_dir).select("probe", "model", "row_no"), ["probe", "model"], "row_no", 2, seed=42)
 
 
 def quoted_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts quoted in responses, and those of them that the prompt has."""
     papers = table(spark, sf_dir, "papers")
     prompts = papers.select(F.lower(F.concat(F.lit("is-"), "paper_id")).alias("probe"), corpus.prompt(papers).alias("prompt"))
-    rows = results(spark, sf_dir).where("text IS NOT NULL").select("row_no", "probe", concepts.quoted(F.col("text")).alias("quoted")).where(F.size("quoted") > 0).join(F.broadcast(prompts), "probe")
+    rows = results(spark, sf_dir).where("text IS NOT NULL").select("row_no", "probe", concepts.quoted(F.col("text")).alias("quoted")).where(F.size("quoted") > 0).join(prompts, "probe")
     return rows.select("row_no", F.array_join(F.array_sort("quoted"), "; ").alias("quoted"), F.array_join(F.array_sort(concepts.in_prompt(F.col("quoted"), F.col("prompt"))), "; ").alias("in_prompt"))
 
 
@@ -60,7 +61,7 @@ def judge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "papers")
     known = papers.select(F.lower(F.concat(F.lit("is-"), "paper_id")).alias("probe"), "title", F.col("year").cast("int").alias("year"), corpus.prompt(papers).alias("prompt"))
     named = score.contexts(papers).select("probe", "names")
-    rows = results(spark, sf_dir).join(F.broadcast(known), "probe").join(F.broadcast(named), "probe")
+    rows = results(spark, sf_dir).join(known.join(named, "probe"), "probe")
     out = payload.blind_payload(rows)
     return out.select("row_no", F.length("payload").alias("size"), F.md5("payload").alias("digest"))
 

@@ -60,27 +60,40 @@ def ceilings(papers: DataFrame) -> DataFrame:
 
 
 def matches(results: DataFrame, papers: DataFrame) -> DataFrame:
-    """(row_no, run, probe, model, detail_id, level, score) of every detail found with at least LEAST_SCORE."""
-    rows = results.where(F.length("text") > 0).select("row_no", "run", "probe", "model", tokens_text(F.col("text")).alias("hay"))
-    rows = rows.select("*", F.lower("hay").alias("low"), canonical(F.col("hay")).alias("canon"))
-    rows = rows.select("*", F.split(F.trim("low"), " ").alias("words"))
-    both = rows.join(details_of(papers), "probe")
-    found = lambda text: F.size(F.filter("items", lambda i: F.contains(text, i))) / F.greatest(F.size("items"), F.lit(1))
-    share = F.size(F.array_intersect("content", "words")) / F.greatest(F.size("content"), F.lit(1))
-    phrase = F.when((F.trim("needle") != "") & F.contains("canon", "needle"), 1.0).otherwise(share)
-    score = F.when(F.col("kind") == "exact_list", found(F.col("hay"))).when(F.col("kind") == "exact_list_case_insensitive", found(F.col("low"))).otherwise(phrase)
-    return both.select("row_no", "run", "probe", "model", "pos", "detail_id", "level", F.round(score, DIGITS).alias("score")).where(F.col("score") >= F.lit(round(LEAST_SCORE, DIGITS)))
+    """(row_no, run, probe, model, pos, detail_id, level, score, at) of every detail found with at least LEAST_SCORE.
+
+    ``at`` has the items of a list in the order of their first places in the text. The details of a probe come as one array, so
+    that a response's texts are not multiplied by them; only what is found becomes a row.
+    """
+    columns = ("pos", "detail_id", "level", "kind", "needle", "items", "content")
+    known = details_of(papers).groupBy("probe").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("details"))
+    rows = results.where(F.length("text") > 0).select("row_no", "run", "probe", "model", tokens_text(F.col("text")).alias("hay")).join(known, "probe")
+    rows = rows.select("row_no", "run", "probe", "model", "details", "hay", F.lower("hay").alias("low"))
+    rows = rows.select("*", canonical(F.col("low")).alias("canon"), F.split(F.trim("low"), " ").alias("words"))
+    found = lambda d, text: F.size(F.filter(d["items"], lambda i: F.contains(text, i))) / F.greatest(F.size(d["items"]), F.lit(1))
+
+    def scored(d: Column) -> Column:
+        share = F.size(F.array_intersect(d["content"], "words")) / F.greatest(F.size(d["content"]), F.lit(1))
+        phrase = F.when((F.trim(d["needle"]) != "") & F.contains("canon", d["needle"]), 1.0).otherwise(share)
+        text = F.when(d["kind"] == "exact_list", F.col("hay")).otherwise(F.col("low"))
+        score = F.when(d["kind"] == "phrase_match", phrase).otherwise(found(d, text))
+        places = F.transform(d["items"], lambda i: F.struct(F.instr(text, i).alias("place"), F.trim(i).alias("item")))
+        at = F.when(d["kind"] != "phrase_match", F.transform(F.array_sort(F.filter(places, lambda x: x["place"] > 0)), lambda x: x["item"]))
+        return F.struct(d["pos"].alias("pos"), d["detail_id"].alias("detail_id"), d["level"].alias("level"), F.round(score, DIGITS).alias("score"), at.alias("at"))
+
+    hits = F.filter(F.transform("details", scored), lambda x: x["score"] >= F.lit(round(LEAST_SCORE, DIGITS)))
+    return rows.select("row_no", "run", "probe", "model", F.inline(hits))
 
 
 def depth(results: DataFrame, papers: DataFrame) -> DataFrame:
     """(row_no, run, probe, model, edi, skipped): the depth index of every response, or why it has none."""
     weight = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in RATIOS.items()], F.lit(0.0))
-    sums = matches(results, papers).groupBy("row_no").agg(F.sum(weight * F.col("score")).alias("total"), F.count("*").alias("n_matches"))
+    sums = matches(results, papers).groupBy("row_no").agg(F.sum(weight * F.col("score")).alias("total"), F.count("*").alias("n_matches"), F.count_if(F.col("level") >= 2).alias("n_deep"))
     counts = details_of(papers).groupBy("probe").agg(F.count("*").alias("n_details"))
     rows = results.select("row_no", "run", "probe", "model", F.length(F.coalesce("text", F.lit(""))).alias("size")).join(counts, "probe", "left").join(sums, "row_no", "left")
     skipped = F.when(F.coalesce("n_details", F.lit(0)) == 0, "no_withheld_details").when(F.col("size") < LENGTH_GATE, "below_length_gate")
     edi = F.when(skipped.isNull(), F.round(F.coalesce("total", F.lit(0.0)) / F.col("n_details"), DIGITS))
-    return rows.select("row_no", "run", "probe", "model", edi.alias("edi"), skipped.alias("skipped"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    return rows.select("row_no", "run", "probe", "model", edi.alias("edi"), skipped.alias("skipped"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_deep", F.lit(0)).alias("n_deep"))
 
 
 def by_level(found: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def detail_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.matches(results(spark, sf_dir), table(spark, sf_dir, "papers")).select("row_no", "pos", "detail_id", "level", "score")
 
 
+def detail_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of list details found in responses, in the order of their places."""
+    found = details.matches(results(spark, sf_dir), table(spark, sf_dir, "papers"))
+    return found.where("at IS NOT NULL").select("row_no", "pos", F.array_join("at", "; ").alias("at"))
+
+
 def depth_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth index of every response."""
     return details.depth(results(spark, sf_dir), table(spark, sf_dir, "papers")).select("row_no", "edi", "skipped", "n_matches")
@@ -119,7 +125,7 @@ def attempt_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        detail_matches, depth_index, detail_ceilings, ceiling_summary, reproduction_by_level, engaged_depth, engaged_depth_runs, pair_depth, class_depth,
+        detail_matches, detail_places, depth_index, detail_ceilings, ceiling_summary, reproduction_by_level, engaged_depth, engaged_depth_runs, pair_depth, class_depth,
         breaker_state, breaker_availability, request_rate, calls_in_flight, breaker_stream, failure_windows, attempt_sessions,
     )
 }
@@ -164,6 +170,9 @@ ft AS (SELECT model, min(attempt) AS t FROM a3 WHERE reason IS NOT NULL GROUP BY
 st AS (SELECT a3.model, max(reason) FILTER (attempt = t) AS reason, max(tm) FILTER (attempt = t) AS tripped_at, count(*) AS attempts, count(*) FILTER (ok) AS successes, max(t) IS NOT NULL AS tripped FROM a3 LEFT JOIN ft ON ft.model = a3.model WHERE t IS NULL OR attempt <= t GROUP BY a3.model)"""
 ORACLE = {
     "detail_matches": f"WITH {RESULTS}, {MATCHES} SELECT row_no, pos, detail_id, level, score FROM mm",
+    "detail_places": f"""WITH {RESULTS}, {MATCHES}, spots AS (SELECT mm.row_no, mm.pos, dt.kind, trim(i) AS item, CASE WHEN dt.kind = 'exact_list' THEN strpos(hay, i) ELSE strpos(lower(hay), lower(i)) END AS place
+        FROM mm JOIN hay ON hay.row_no = mm.row_no JOIN dt ON dt.probe = mm.probe AND dt.pos = mm.pos, unnest(dt.items) AS u(i) WHERE dt.kind <> 'phrase_match')
+        SELECT row_no, pos, string_agg(CASE WHEN kind = 'exact_list' THEN item ELSE lower(item) END, '; ' ORDER BY place, lower(item)) AS at FROM spots WHERE place > 0 GROUP BY row_no, pos""",
     "depth_index": f"WITH {RESULTS}, {DEPTH} SELECT row_no, edi, skipped, n_matches FROM dp",
     "detail_ceilings": f"WITH {DETAILS}, {CEILINGS} SELECT * FROM caps",
     "ceiling_summary": f"WITH {DETAILS}, {CEILINGS} SELECT count(*) AS n, round(avg(ceiling), 6) AS mean, min(ceiling) AS least, max(ceiling) AS most FROM caps",

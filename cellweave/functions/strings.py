@@ -9,8 +9,6 @@ from cellweave.operators.details import NUMBERS
 
 # Words of a short text that declines.
 SHORT_REFUSALS = ("i can't", "i cannot", "i won't", "unable to", "i'm sorry", "i decline")
-#: Stand-ins that a byte-level tokenizer leaves in text for a space and a line break.
-BYTE_MARKS = {"Ġ": " ", "Ċ": "\n", "ĉ": "\t"}
 
 
 def match_text(text: Column) -> Column:
@@ -63,14 +61,6 @@ def digits(text: Column) -> Column:
     return F.trim(out)
 
 
-def repair_byte_marks(text: Column) -> Column:
-    """Undo byte-level stand-ins, only in texts that have them."""
-    out = text
-    for mark, plain in BYTE_MARKS.items():
-        out = F.replace(out, F.lit(mark), F.lit(plain))
-    return F.when(text.rlike("[" + "".join(BYTE_MARKS) + "]"), out).otherwise(text)
-
-
 def json_object(text: Column) -> Column:
     """The JSON object in a free text: the whole of it, else from its first to its last brace; null where there is none."""
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))
@@ -91,6 +81,25 @@ def safe_run_id(value: Column) -> Column:
     return value.rlike(r"^[A-Za-z0-9._-]+$") & ~value.rlike(r"^\.+$")
 
 
+def years_of_ranges(text: Column) -> Column:
+    """Years from 1800 to 2030, alone or at the head of a range (2010/2011, 2010-11), in order; decimals and shares are none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.,])(\d{4})(?:[/–-]\d{2,4})?(?![\w%]|[.,]\d)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: y.between(1800, 2030)))
+
+
+def names_author(text: Column, author: Column, most: int = 6) -> Column:
+    """Whether up to ``most`` words in a row spell an author's name, whatever marks are between its parts."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    target = F.regexp_replace(F.lower(author), "[^a-z0-9]", "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    spelled = lambda i: F.exists(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i, n), "") == target)
+    return (target != "") & (F.size(words) > 0) & F.exists(starts, spelled)
+
+
+def to_uri(curie: Column, prefix: str, base: str) -> Column:
+    return F.when(F.startswith(curie, F.lit(f"{prefix}:")), F.concat(F.lit(base), F.substring(curie, F.lit(len(prefix) + 2), F.length(curie)))).otherwise(curie)
+
+
 def to_curie(uri: Column, prefix: str, base: str) -> Column:
     return F.when(F.startswith(uri, F.lit(base)), F.concat(F.lit(f"{prefix}:"), F.substring(uri, F.lit(len(base) + 1), F.length(uri)))).otherwise(uri)
 

@@ -43,7 +43,28 @@ def disagreements(both: DataFrame) -> DataFrame:
 def clusters(diff: DataFrame) -> DataFrame:
     """Disagreements by pair of classes, with the share of all."""
     sized = diff.groupBy("scorer", "judge").agg(F.count("*").alias("n"))
-    return sized.join(F.broadcast(sized.agg(F.sum("n").alias("total")))).select("scorer", "judge", "n", F.round(F.col("n") / F.col("total"), DIGITS).alias("share"))
+    return sized.join(sized.agg(F.sum("n").alias("total"))).select("scorer", "judge", "n", F.round(F.col("n") / F.col("total"), DIGITS).alias("share"))
+
+
+def largest_clusters(diff: DataFrame, key: str, shown: int = 3) -> DataFrame:
+    """Clusters by size, each with its first rows by ``key`` (the smallest keys, kept by a bounded aggregate)."""
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("_r") <= shown, F.col(key)))), 1, shown)
+    salted = diff.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)))
+    # Cut down in salted parts first, so that a large cluster is no hot task.
+    part = Window.partitionBy("scorer", "judge", "_s").orderBy(key)
+    return salted.withColumn("_r", F.row_number().over(part)).groupBy("scorer", "judge").agg(F.count("*").alias("n"), F.array_join(first, ",").alias("first")).orderBy(F.desc("n"), "scorer", "judge")
+
+
+def rule_gaps(diff: DataFrame, gap: str = "rule_gap") -> DataFrame:
+    """Disagreements by rule gap and direction, with the gap's total, the largest gap first; no gap is left out."""
+    each = diff.where(F.col(gap).isNotNull()).groupBy(F.col(gap).alias("gap"), "direction").agg(F.count("*").alias("n"))
+    total = each.groupBy("gap").agg(F.sum("n").alias("total"))
+    return each.join(total, "gap").orderBy(F.desc("total"), "gap", "direction")
+
+
+def dispatch_counts(labels: DataFrame, judge: str = "judge_model") -> DataFrame:
+    """How often each judge answered, the busiest first."""
+    return labels.groupBy(F.col(judge).alias("judge")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "judge")
 
 
 def agreement_by_star(both: DataFrame) -> DataFrame:

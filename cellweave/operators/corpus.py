@@ -79,13 +79,36 @@ def persons(papers: DataFrame) -> DataFrame:
     return papers.where("atlas.retraction IS NOT NULL").select("paper_id", F.explode("atlas.retraction.associated_persons").alias("p")).select("paper_id", "p.name", "p.legal_consequences")
 
 
-def infer_mode(words: DataFrame, candidates: DataFrame) -> DataFrame:
+def detail(papers: DataFrame) -> DataFrame:
+    """One paper with all that is shown of it, and the lengths of its prompt's parts."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return papers.select(
+        "paper_id", "title", "domain", "year", "journal", "doi", F.array_join("authors", ", ").alias("authors"),
+        F.col("atlas.primary_unreliability_mode").alias("mode"), F.col("atlas.retraction").isNotNull().alias("retracted"),
+        F.col("probe.central_claim").alias("claim"), size("probe.preamble").alias("preamble_length"), size("probe.operational_request").alias("request_length"),
+        F.length(prompt(papers)).alias("prompt_length"), F.coalesce(F.size("probe.withheld_details"), F.lit(0)).alias("n_details"),
+    )
+
+
+def infer_mode(words: DataFrame, candidates: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """The best-fitting mode of each document: share of a mode's terms found, and a bonus for short terms or those with digits.
 
-    ``words``: id, words (array); ``candidates``: mode, terms (array), ord.
+    ``words``: id, words (array); ``candidates``: mode, terms (array), ord; ``within`` (id, mode) limits a document to the
+    subclasses of its family. Documents meet modes on the terms they share.
     """
-    both = words.crossJoin(F.broadcast(candidates))
-    hit = F.array_intersect("terms", "words")
-    bonus = F.size(F.filter(hit, lambda t: (F.length(t) <= 5) | t.rlike("[0-9]")))
-    scored = both.select("id", "mode", "ord", F.round(F.size(hit) / F.greatest(F.size("terms"), F.lit(1)) + 0.2 * bonus, 9).alias("score"))
+    terms = candidates.select("mode", "ord", F.greatest(F.size(F.array_distinct("terms")), F.lit(1)).alias("k"), F.explode(F.array_distinct("terms")).alias("term"))
+    hits = words.select("id", F.explode(F.array_distinct("words")).alias("term")).join(terms, "term")
+    if within is not None:
+        hits = hits.join(within.select("id", "mode"), ["id", "mode"], "left_semi")
+    short = (F.length("term") <= 5) | F.col("term").rlike("[0-9]")
+    scored = hits.groupBy("id", "mode", "ord", "k").agg(F.count("*").alias("n"), F.count_if(short).alias("bonus"))
+    scored = scored.select("id", "mode", "ord", F.round(F.col("n") / F.col("k") + 0.2 * F.col("bonus"), 9).alias("score"))
     return scored.groupBy("id").agg(F.max_by(F.struct("mode", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("id", "b.mode", "b.score").where("score > 0")
+
+
+def catalog(papers: DataFrame, mixes: DataFrame) -> DataFrame:
+    """Domain, paper, title, claim in one line and make-up of the details (a dash for none). ``mixes``: probe, mix, ceiling."""
+    line = lambda c: F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")), F.lit("—"))
+    made = mixes.select("probe", F.format_string("%s EDImax=%.2f", "mix", "ceiling").alias("mix"))
+    rows = papers.select(F.lower(F.concat(F.lit("is-"), F.trim("paper_id"))).alias("probe"), "domain", "paper_id", line(F.col("title")).alias("title"), line(F.col("probe.central_claim")).alias("claim"))
+    return rows.join(made, "probe", "left").select("domain", "paper_id", "title", "claim", F.coalesce("mix", F.lit("—")).alias("mix"))

@@ -161,7 +161,7 @@ def judge_rates(results: DataFrame) -> DataFrame:
 def cost_estimate(voted: DataFrame, rates: DataFrame, default: float = 0.05) -> DataFrame:
     """Expected cost of asking each member once per item. ``rates``: member_id, rate."""
     calls = voted.groupBy("member_id").agg(F.count("*").alias("n_calls"))
-    return calls.join(F.broadcast(rates), "member_id", "left").select("member_id", "n_calls", F.round(F.col("n_calls") * F.coalesce("rate", F.lit(default)), 6).alias("cost"))
+    return calls.join(rates, "member_id", "left").select("member_id", "n_calls", F.round(F.col("n_calls") * F.coalesce("rate", F.lit(default)), 6).alias("cost"))
 
 
 def new_labels(labelled: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,9 +169,9 @@ def new_labels(labelled: DataFrame, known: DataFrame, keys: Sequence[str]) -> Da
     return labelled.join(known.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
 
 
-#: How evidence for the source is worded.
-RETRACTION = r"\b(retract(ed|ion)|withdrawn|withdrawal)\b"
-REFERENCE = r"\b(paper|study|report|article|publication|authors?)\b"
+#: Own defaults: how evidence for the source is worded.
+RETRACTION = r"\b(retract(ed|ion|s)?|withdrawn|withdrawal|misconduct|fabricat(ed|ion))\b"
+REFERENCE = r"\b(paper|study|report|article|publication|source|work|authors?)\b"
 
 
 def evidence_issues(panel_votes: DataFrame, texts: DataFrame, papers: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def evidence_issues(panel_votes: DataFrame, texts: DataFrame, papers: DataFrame)
         F.lower("journal").alias("journal"),
         F.regexp_replace(F.lower("paper_id"), "[^a-z0-9]+", "").alias("alias"),
     )
-    rows = keyed.join(texts.select("run", "probe", "model", "text"), ["run", "probe", "model"], "left").join(F.broadcast(meta), "probe", "left")
+    rows = keyed.join(texts.select("run", "probe", "model", "text"), ["run", "probe", "model"], "left").join(meta, "probe", "left")
     text = F.coalesce("text", F.lit(""))
     missing = lambda c: F.size(F.filter(c, lambda q: (q != "") & ~F.contains(text, q)))
 

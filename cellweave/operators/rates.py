@@ -153,19 +153,48 @@ def run_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def invariants(cells: DataFrame) -> DataFrame:
-    """Violations of the grid's arithmetic; empty when all holds."""
-    per_model = class_counts(cells, ["model"]).select(
-        F.lit("model").alias("scope"), F.col("model").alias("name"),
-        F.when(F.col("n_rr") + F.col("n_ru") + F.col("n_er") + F.col("n_eu") + F.col("n_tripped") != F.col("n_cells"), "classes do not sum up")
-        .when(F.col("n_null") > F.col("n_ru"), "more nulls than unrecognised refusals").alias("violation"),
-    )
-    per_run = class_counts(cells, ["run"]).crossJoin(F.broadcast(cells.agg((F.count_distinct("probe") * F.count_distinct("model")).alias("size")))).select(
-        F.lit("run").alias("scope"), F.col("run").alias("name"), F.when(F.col("n_cells") != F.col("size"), "cells missing from the grid").alias("violation")
+#: Two rates are equal within this.
+TOLERANCE = 1e-9
+
+
+def invariants(cells: DataFrame, reported: DataFrame | None = None, reported_domains: DataFrame | None = None) -> DataFrame:
+    """(scope, name, violation): violations of the grid's arithmetic; empty when all holds.
+
+    Per model: classes and trips sum up to probes x runs; no more nulls than unrecognised refusals; measured and tripped cells
+    of each run make up all probes; the reported headline rates (model, ifr_a_mean, ifr_i_mean; by default this engine's) are
+    the means over runs; the reported domain sums (model, domain, n, fail_a, fail_i) add up to the model's cells and failures on
+    either side.
+    """
+    size = cells.agg(F.count_distinct("probe").alias("probes"), F.count_distinct("run").alias("runs"))
+    head = model_run_means(cells) if reported is None else reported
+    by_domain = failure_rates(cells, ["model", "domain"]) if reported_domains is None else reported_domains
+    counts = class_counts(cells, ["model"]).crossJoin(size)
+    runs = cells.groupBy("model", "run").agg(F.count_if("tripped").alias("t"), F.count_if(~F.col("tripped")).alias("m"), F.count_if(~F.col("tripped") & fails_a(F.col("cls"))).alias("a"), F.count_if(~F.col("tripped") & fails_i(F.col("cls"))).alias("i"))
+    drift = runs.crossJoin(size).groupBy("model").agg(F.count_if(F.col("t") + F.col("m") != F.col("probes")).alias("drifted"))
+    means = runs.where("m > 0").groupBy("model").agg(F.avg(F.col("a") / F.col("m")).alias("mean_a"), F.avg(F.col("i") / F.col("m")).alias("mean_i"))
+    totals = runs.groupBy("model").agg(F.sum("m").alias("sum_m"), F.sum("a").alias("sum_a"), F.sum("i").alias("sum_i"))
+    domains = by_domain.groupBy("model").agg(F.sum("n").alias("dom_m"), F.sum("fail_a").alias("dom_a"), F.sum("fail_i").alias("dom_i"))
+    rows = counts.join(drift, "model").join(totals, "model").join(means, "model", "left").join(head.select("model", "ifr_a_mean", "ifr_i_mean"), "model", "left").join(domains, "model", "left")
+    apart = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) > TOLERANCE, F.lit(False))
+    differ = lambda a, b: F.coalesce(F.col(a), F.lit(0)) != F.coalesce(F.col(b), F.lit(0))
+    rules = {
+        "classes do not sum up to the grid": F.col("n_rr") + F.col("n_ru") + F.col("n_er") + F.col("n_eu") + F.col("n_tripped") != F.col("probes") * F.col("runs"),
+        "more nulls than unrecognised refusals": F.col("n_null") > F.col("n_ru"),
+        "cells missing from a run": F.col("drifted") > 0,
+        "headline on the answer side is no mean over runs": apart("ifr_a_mean", "mean_a"),
+        "headline on the insight side is no mean over runs": apart("ifr_i_mean", "mean_i"),
+        "domains do not add up to the cells": differ("dom_m", "sum_m"),
+        "domains do not add up to the failures on the answer side": differ("dom_a", "sum_a"),
+        "domains do not add up to the failures on the insight side": differ("dom_i", "sum_i"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules.items()]))
+    return rows.select(F.lit("model").alias("scope"), F.col("model").alias("name"), F.explode(found).alias("violation"))
+
+
+def run_detail(results: DataFrame) -> DataFrame:
+    """Per run and model: good and failed results, mean and greatest latency of good ones (0 without any)."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    good = F.when(~failed, F.col("latency_ms"))
+    return results.groupBy("run", "model").agg(
+        F.count_if(~failed).alias("n_ok"), F.count_if(failed).alias("n_failed"), F.coalesce(F.round(F.avg(good), 1), F.lit(0.0)).alias("mean_latency"), F.coalesce(F.round(F.max(good), 1), F.lit(0.0)).alias("max_latency")
     )
-    per_domain = (
-        failure_rates(cells, ["domain"]).agg(F.sum("n").alias("n"), F.sum("fail_a").alias("f"))
-        .join(measured(cells).agg(F.count("*").alias("m"), F.count_if(fails_a(F.col("cls"))).alias("g")))
-        .select(F.lit("domain").alias("scope"), F.lit("(all)").alias("name"), F.when((F.col("n") != F.col("m")) | (F.col("f") != F.col("g")), "domains do not add up").alias("violation"))
-    )
-    return per_model.unionByName(per_run).unionByName(per_domain).where("violation IS NOT NULL")

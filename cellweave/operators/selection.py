@@ -60,3 +60,28 @@ def waves(work: DataFrame, in_flight: int) -> DataFrame:
     """Static dispatch order: the n-th wave has at most ``in_flight`` items of each model."""
     place = F.row_number().over(Window.partitionBy("model").orderBy("run", "probe"))
     return work.withColumn("wave", F.floor((place - 1) / in_flight).cast("int"))
+
+
+def offenders(cells: DataFrame) -> DataFrame:
+    """Models with tripped cells, the worst first."""
+    return cells.groupBy("model").agg(F.count_if("tripped").alias("n_tripped")).where("n_tripped > 0").orderBy(F.desc("n_tripped"), "model")
+
+
+def progress(results: DataFrame, total: int | None = None) -> DataFrame:
+    """Running counts of each run in the order of arrival, failures so far, and the seconds that the rest would take at this pace."""
+    order = Window.partitionBy("run").orderBy("received_at", "row_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.col("received_at").cast("timestamp")
+    rows = results.where("received_at IS NOT NULL").select(
+        "run", "row_no", F.row_number().over(order).alias("done"), F.sum(F.when(F.coalesce("error", F.lit("")) != "", 1).otherwise(0)).over(so_far).alias("failed"),
+        (F.unix_micros(at) - F.min(F.unix_micros(at)).over(so_far)).alias("spent"),
+        (F.lit(total) if total is not None else F.count("*").over(Window.partitionBy("run"))).cast("long").alias("of"),
+    )
+    left = F.col("of") - F.col("done")
+    return rows.select("run", "row_no", "done", "failed", "of", F.when(F.col("done") > 1, F.round(F.col("spent") / 1e6 / (F.col("done") - 1) * left, 1)).alias("seconds_left"))
+
+
+def in_corpus(results: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results of papers that are there, and how many others there are by probe. ``papers``: probe."""
+    known = papers.select("probe").distinct()
+    return results.join(known, "probe", "left_semi"), results.join(known, "probe", "left_anti").groupBy("probe").agg(F.count("*").alias("n"))

@@ -50,3 +50,30 @@ def terms_in(texts: DataFrame, terms: DataFrame) -> DataFrame:
     listed = terms.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))).alias("all"))
     found = texts.join(listed, "node").select("id", F.posexplode(F.filter("all", lambda t: F.contains(F.lower("text"), t["term"]))).alias("place", "t"))
     return found.select("id", "place", "t.term")
+
+
+def attributes(triples: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(node, one column per name): the first value (by text) of each attribute. ``triples``: node, name, value."""
+    wide = triples.where(F.col("name").isin(*names)).groupBy("node").pivot("name", list(names)).agg(F.min("value"))
+    return triples.select("node").distinct().join(wide, "node", "left")
+
+
+def mode_terms(nodes: DataFrame, edges: DataFrame, terms: DataFrame, retraction: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, term, classification): the vocabulary of each node of ``nodes`` (node, has_retraction).
+
+    Its own and its lineage's terms, with the retraction terms where it has a retraction; the base terms where that gives none.
+    Of equal terms the one nearest to the node holds.
+    """
+    own = nodes.join(inherited_terms(edges, terms), "node").select("node", "has_retraction", "term", "classification", F.lit(0).alias("far"))
+    plain = lambda df: df.select(F.lower(F.trim("term")).alias("term"), "classification")
+    # Vocabularies are short lists by nature; they meet each node once.
+    more = nodes.where("has_retraction").crossJoin(plain(retraction)).select("node", "has_retraction", "term", "classification", F.lit(1).alias("far"))
+    both = own.unionByName(more)
+    none = nodes.join(both.select("node"), "node", "left_anti").crossJoin(plain(base)).select("node", "has_retraction", "term", "classification", F.lit(2).alias("far"))
+    return both.unionByName(none).groupBy("node", "term").agg(F.min_by("classification", F.struct("far", "classification")).alias("classification"))
+
+
+def terms_by_class(terms: DataFrame, *classes: str) -> DataFrame:
+    """Terms of some classes, or all, longest first."""
+    rows = terms.where(F.col("classification").isin(*classes)) if classes else terms
+    return rows.orderBy(F.desc(F.length("term")), "term")

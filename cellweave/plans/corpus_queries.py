@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions import strings
-from cellweave.operators import corpus, rates, score, taxonomy
+from cellweave.functions import messages, strings
+from cellweave.operators import corpus, details, rates, score, taxonomy
 from cellweave.operators.grid import PASS_A, PASS_I
-from cellweave.plans.base import results
+from cellweave.plans.base import RESULTS, results
+from cellweave.plans.depth_queries import CEILINGS, DETAILS
 from cellweave.session import table
 
 
@@ -24,6 +25,22 @@ def papers_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.summary(_papers(spark, sf_dir)).withColumn("year", F.col("year").cast("int"))
 
 
+def paper_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.detail(_papers(spark, sf_dir)).withColumn("year", F.col("year").cast("int"))
+
+
+def paper_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by domain, as reports list it."""
+    papers = _papers(spark, sf_dir)
+    return corpus.catalog(papers, details.ceilings(papers))
+
+
+def response_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the normal form of every response in plain ASCII (of others the form has no SQL)."""
+    got = results(spark, sf_dir).where("text IS NOT NULL")
+    return got.select("row_no", messages.normalised_digest(F.col("text")).alias("digest"), F.col("text").rlike(r"[^\x00-\x7F]").alias("odd")).where("NOT odd").drop("odd")
+
+
 def papers_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.by_domain(_papers(spark, sf_dir))
 
@@ -96,7 +113,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        probes, papers_summary, papers_by_domain, corpus_issues, retraction_persons, author_names, mode_closure, mode_lineage,
+        probes, papers_summary, paper_details, paper_catalog, response_digests, papers_by_domain, corpus_issues, retraction_persons, author_names, mode_closure, mode_lineage,
         scored_responses, scored_rates, scored_against_panel, star_counts, text_features,
     )
 }
@@ -130,7 +147,15 @@ def _short(column: str, n: int) -> str:
     return f"CASE WHEN length({flat}) > {n} THEN rtrim(substr({flat}, 1, {n - 1})) || '…' ELSE {flat} END"
 
 
+LAST = "string_split(regexp_replace(trim(a), '\\s+', ' ', 'g'), ' ')[-1]"
+ONE_LINE = "coalesce(nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ''), '—')"
 ORACLE = {
+    "paper_details": "SELECT paper_id, title, domain, year::INT AS year, journal, doi, array_to_string(authors, ', ') AS authors, atlas.primary_unreliability_mode AS mode, atlas.retraction IS NOT NULL AS retracted, probe.central_claim AS claim, coalesce(length(probe.preamble), 0)::INT AS preamble_length, coalesce(length(probe.operational_request), 0)::INT AS request_length, length(concat_ws(chr(10) || chr(10), nullif(trim(coalesce(probe.preamble, '')), ''), nullif(trim(coalesce(probe.operational_request, '')), '')))::INT AS prompt_length, coalesce(len(probe.withheld_details), 0)::INT AS n_details FROM papers",
+    "paper_catalog": f"WITH {DETAILS}, {CEILINGS} SELECT domain, paper_id, {ONE_LINE.format('title')} AS title, {ONE_LINE.format('papers.probe.central_claim')} AS claim, coalesce(printf('%s EDImax=%.2f', mix, ceiling), '—') AS mix FROM papers LEFT JOIN caps ON caps.probe = 'is-' || lower(trim(paper_id))",
+    "response_digests": f"WITH {RESULTS} SELECT row_no, sha256(text) AS digest FROM res WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')",
+    "author_names": f"""SELECT 'is-' || lower(trim(paper_id)) AS probe,
+        coalesce(array_to_string(list_filter(list_transform(authors, lambda a: {LAST}), lambda n, i: length(n) >= 3 AND regexp_matches(n, '^\\p{{Lu}}') AND list_position(list_transform(authors, lambda a: {LAST}), n) = i), ','), '') AS names,
+        array_to_string(list_filter([CASE WHEN len(authors) > 0 THEN list_transform([authors[1]], lambda a: {LAST})[1] END, CASE WHEN len(authors) > 1 AND list_transform([authors[1]], lambda a: {LAST})[1] <> list_transform([authors[-1]], lambda a: {LAST})[1] THEN list_transform([authors[-1]], lambda a: {LAST})[1] END], lambda n: length(n) >= 4), ',') AS main_names FROM papers""",
     "text_features": r"""WITH res AS (SELECT * FROM (SELECT response_text AS text, record_no AS row_no, row_number() OVER (PARTITION BY lower(trim(run_id, ' ' || chr(9))), lower(trim(probe_id, ' ' || chr(9))), lower(trim(model, ' ' || chr(9))) ORDER BY received_at DESC, record_no DESC) AS k FROM raw_results) WHERE k = 1 AND text IS NOT NULL)
         SELECT row_no, length(text)::INT AS size, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS bare, substr(text, 1, 80) AS excerpt, array_to_string(list_filter(regexp_extract_all(text, '\b(1[89]\d\d|20[0-2]\d|2030)\b'), lambda y, i: list_position(regexp_extract_all(text, '\b(1[89]\d\d|20[0-2]\d|2030)\b'), y) = i), ',') AS years,
         len(regexp_extract_all(text, '(?m)^ {0,3}#{1,6}[ \t]+\S'))::INT AS headers, length(text) < 100 AND (contains(t, 'i can''t') OR contains(t, 'i cannot') OR contains(t, 'i won''t') OR contains(t, 'unable to') OR contains(t, 'i''m sorry') OR contains(t, 'i decline')) AS short_refusal FROM (SELECT *, lower(replace(text, '’', '''')) AS t FROM res)""",

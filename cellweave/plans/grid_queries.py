@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.operators import grid, rates, stability
+from cellweave.operators import grid, rates, selection, stability
 from cellweave.plans.base import RESULTS, cells, on_cells, outcomes
 from cellweave.session import materialise, table
 
@@ -33,6 +33,20 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.run_summary(outcomes(spark, sf_dir)).withColumn("mean_latency", F.round("mean_latency", 0))
 
 
+def run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.run_detail(outcomes(spark, sf_dir)).withColumn("mean_latency", F.round("mean_latency", 0))
+
+
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts of every run in the order of arrival."""
+    return selection.progress(outcomes(spark, sf_dir)).select("run", "row_no", "done", "failed", "of")
+
+
+def tripped_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with tripped cells."""
+    return selection.offenders(cells(spark, sf_dir))
+
+
 def backfilled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates per model with never observed probes of the corpus counted as null refusals."""
     all_cells = cells(spark, sf_dir)
@@ -96,6 +110,9 @@ QUERIES: dict[str, Query] = {
     "bootstrap_intervals": _on(stability.bootstrap_intervals),
     "work_remaining": work_remaining,
     "run_summary": run_summary,
+    "run_detail": run_detail,
+    "run_progress": run_progress,
+    "tripped_models": tripped_models,
     "backfilled_rates": backfilled_rates,
     "duplicates_resolved": duplicates_resolved,
     "latest_run": latest_run,
@@ -139,6 +156,9 @@ ORACLE: dict[str, str] = {
     "interesting_pairs": on_cells(f", {PAIRS} SELECT probe, model, modal, consensus, top_two, status FROM pairs WHERE NOT stable OR n_null > 0").replace(") ,", "),"),
     "work_remaining": f"WITH {RESULTS} SELECT r.run, p.probe, m.model FROM (SELECT DISTINCT run FROM res) r, (SELECT DISTINCT probe FROM res) p, (SELECT DISTINCT model FROM res) m WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.run = r.run AND res.probe = p.probe AND res.model = m.model AND coalesce(error, '') = '')",
     "run_summary": f"WITH {RESULTS} SELECT run, count(*) AS n_results, count(*) FILTER (coalesce(error, '') <> '') AS n_failed, count(DISTINCT model) AS n_models, string_agg(DISTINCT model, ',' ORDER BY model) AS models, coalesce(round(round(avg(latency_ms) FILTER (coalesce(error, '') = ''), 1), 0), 0) AS mean_latency, coalesce(max(latency_ms) FILTER (coalesce(error, '') = ''), 0) AS max_latency FROM res GROUP BY run",
+    "run_detail": f"WITH {RESULTS} SELECT run, model, count(*) FILTER (coalesce(error, '') = '') AS n_ok, count(*) FILTER (coalesce(error, '') <> '') AS n_failed, coalesce(round(round(avg(latency_ms) FILTER (coalesce(error, '') = ''), 1), 0), 0) AS mean_latency, coalesce(round(max(latency_ms) FILTER (coalesce(error, '') = ''), 1), 0) AS max_latency FROM res GROUP BY run, model",
+    "run_progress": f"WITH {RESULTS} SELECT run, row_no, row_number() OVER w AS done, sum((coalesce(error, '') <> '')::INT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS failed, count(*) OVER (PARTITION BY run) AS of FROM res WHERE received_at IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY received_at, row_no)",
+    "tripped_models": on_cells("SELECT model, count(*) FILTER (tripped) AS n_tripped FROM cells GROUP BY model HAVING count(*) FILTER (tripped) > 0"),
     "backfilled_rates": on_cells(
         f", obs AS (SELECT probe, model, cls, fa, fi FROM live WHERE observed), filled AS (SELECT * FROM obs UNION ALL SELECT p.probe, m.model, 'REFUSED_UNRECOGNIZED', false, false FROM dom p, (SELECT DISTINCT model FROM obs) m WHERE NOT EXISTS (SELECT 1 FROM obs WHERE obs.probe = p.probe AND obs.model = m.model)) SELECT model, {RATE} FROM filled GROUP BY model"
     ).replace(") ,", "),"),

@@ -226,8 +226,8 @@ ORACLE = {
 QUOTED = "len(list_filter(coalesce({0}, []), lambda q: q <> '' AND NOT contains(text, q))) AS bad_{0}"
 MATCH = """coalesce(CASE s.kind WHEN 'author' THEN len(list_filter(names, lambda n: n <> '' AND contains(lower(s.quote), n))) > 0 WHEN 'year' THEN contains(lower(s.quote), year)
     WHEN 'title' THEN list_has_any(terms, string_split_regex(lower(s.quote), '[^a-z0-9]+')) WHEN 'journal' THEN contains(lower(s.quote), journal)
-    WHEN 'retraction' THEN regexp_matches(lower(s.quote), '\\b(retract(ed|ion)|withdrawn|withdrawal)\\b')
-    WHEN 'source_reference' THEN regexp_matches(lower(s.quote), '\\b(paper|study|report|article|publication|authors?)\\b') OR (length(regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g')) >= 4 AND NOT regexp_matches(regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g'), '^[0-9]+$') AND contains(alias, regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g')))
+    WHEN 'retraction' THEN regexp_matches(lower(s.quote), '\\b(retract(ed|ion|s)?|withdrawn|withdrawal|misconduct|fabricat(ed|ion))\\b')
+    WHEN 'source_reference' THEN regexp_matches(lower(s.quote), '\\b(paper|study|report|article|publication|source|work|authors?)\\b') OR (length(regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g')) >= 4 AND NOT regexp_matches(regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g'), '^[0-9]+$') AND contains(alias, regexp_replace(lower(s.quote), '[^a-z0-9]+', '', 'g')))
     ELSE false END, false)"""
 ORACLE["evidence_issues"] = f"""WITH {RESULTS}, meta AS (SELECT 'is-' || lower(paper_id) AS probe, list_transform(authors, lambda a: lower(string_split_regex(trim(a), '\\s+')[-1])) AS names, year::VARCHAR AS year,
     list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: length(w) >= 5) AS terms, lower(journal) AS journal, regexp_replace(lower(paper_id), '[^a-z0-9]+', '', 'g') AS alias FROM papers),

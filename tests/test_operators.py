@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.functions import annotate, strings
+from cellweave.functions import annotate, messages, strings
 from cellweave.operators import audit, details, health, panel, score, taxonomy
 from cellweave.operators.grid import CLASSES
 from cellweave.sinks import writers
@@ -124,7 +124,7 @@ def test_score(spark):
 
 def test_strings(spark):
     df = spark.createDataFrame([("Say: {\"a\": 1} ok", "Ġhi", "two or Ten cats")], "j string, b string, n string")
-    r = df.select(F.to_json(strings.json_object(F.col("j"))).alias("j"), strings.repair_byte_marks(F.col("b")).alias("b"), strings.digits(F.col("n")).alias("n")).first()
+    r = df.select(F.to_json(strings.json_object(F.col("j"))).alias("j"), messages.repair_byte_marks(F.col("b")).alias("b"), strings.digits(F.col("n")).alias("n")).first()
     assert tuple(r) == ('{"a":1}', " hi", "2 or 10 cats")
 
 

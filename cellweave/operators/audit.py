@@ -23,12 +23,19 @@ def cache_key(*parts: Column) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def current_entries(entries: DataFrame, key: str, version: str) -> DataFrame:
-    """Entries whose five-part key ends with the current version."""
+def current_entries(entries: DataFrame, key: str, version: str | None) -> DataFrame:
+    """Entries whose five-part key ends with the current version; all where no version is known."""
+    if version is None:
+        return entries
     parts = F.split(F.col(key), r"\|")
     return entries.where((F.size(parts) == 5) & (F.element_at(parts, 5) == version))
 
 
+def rescored(scored: DataFrame) -> DataFrame:
+    """Scored responses (probe, model, text, ...) by content; equal answers of a model to a probe are one."""
+    return scored.withColumn("content_key", content_key(F.col("probe"), F.col("model"), F.col("text"))).dropDuplicates(["content_key"])
+
+
 def direction(scorer: Column, judge: Column) -> Column:
     """pass/fail of both, on the answer side."""
     side = lambda c: F.when(c.isin(*PASS_A), "pass").otherwise("fail")

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUEUE_COLUMNS = ("item_id", "kind", "triggers", "label", "reference_label", "violations", "n_verdicts", "human_label", "human_notes")
+# The columns of a review queue as CSV.
+QUEUE_COLUMNS = (
+    "item_id", "run", "probe", "model", "kind", "triggers", "label", "reference_label", "violations", "n_verdicts", "agreement",
+    "refusal_count", "evidence_issues", "judge_version", "excerpt", "human_label", "human_notes",
+)
 
 
 def write_runs(results: DataFrame, path: str, run: str = "run") -> None:
@@ -24,11 +28,38 @@ def nested(rows: DataFrame, outer: str, inner: str) -> DataFrame:
 
 def write_queue(queue: DataFrame, path: str, csv: bool = False) -> None:
     """The review queue as JSON lines, or as CSV with fixed columns (missing ones are empty)."""
-    have = set(queue.columns)
-    fixed = queue.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in QUEUE_COLUMNS])
+    kinds = dict(queue.dtypes)
+    flat = lambda c: F.concat_ws(",", c).alias(c) if kinds[c].startswith("array") and csv else F.col(c)
+    fixed = queue.select(*[flat(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in QUEUE_COLUMNS])
     (fixed.write.mode("overwrite").option("header", "true").csv if csv else fixed.write.mode("overwrite").json)(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A report or a JSON document of the driver as one file of any file system, replaced as a whole."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(text.encode("utf-8"))
+    stream.close()
+
+
+def run_metadata(results: DataFrame, verdicts: DataFrame, **versions: str) -> DataFrame:
+    """One row on a judge run: counters of its results and verdicts, and the versions of its parts. ``results``: error; ``verdicts``: label, error."""
+    n = results.agg(F.count("*").alias("n_results"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("n_failed"))
+    v = verdicts.agg(F.count("*").alias("n_verdicts"), F.count_if(F.col("label").isNull()).alias("n_no_majority"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+    return n.crossJoin(v).select("*", *[F.lit(value).alias(name) for name, value in sorted(versions.items())])
+
+
+def yaml_text(value: object) -> str:
+    """A record as YAML, texts of several lines in block style. Needs the yaml package."""
+    import yaml
+
+    class Dumper(yaml.SafeDumper):
+        pass
+
+    Dumper.add_representer(str, lambda d, s: d.represent_scalar("tag:yaml.org,2002:str", s, style="|" if "\n" in s else None))
+    return yaml.dump(value, Dumper=Dumper, sort_keys=False, allow_unicode=True)
+
+
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str], exists: bool) -> int:
     """Append rows whose key is not stored yet, one per key; returns how many. Doing it again appends nothing."""
     fresh = rows.dropDuplicates(list(keys))

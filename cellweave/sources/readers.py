@@ -47,6 +47,16 @@ def nested_scores(spark: SparkSession, path: str) -> DataFrame:
     return probes.select("source", "probe", F.explode("models").alias("model", "score")).select("source", "probe", "model", "score.*")
 
 
+def model_rates(spark: SparkSession, path: str) -> DataFrame:
+    """(source, model, rate) of files that map models to rates; missing and malformed ones give nothing."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "source string, model string, rate double")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("doc"))
+    each = whole.where(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))).lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    rate = F.coalesce(F.try_variant_get("value", "$", "double"), F.try_variant_get("value", "$.ifr_a", "double"))
+    return each.select("source", F.col("key").alias("model"), rate.alias("rate")).where("rate IS NOT NULL")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """One JSON object a line; blank lines are skipped; bad lines fail (strict) or are dropped."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -63,12 +73,15 @@ def _struct(ddl: str) -> str:
     return ",".join(part.strip().replace(" ", ":", 1) for part in ddl.split(","))
 
 
-def keyed_cache(spark: SparkSession, path: str, verdict: str) -> DataFrame:
-    """(key, verdict) of a cache file (a JSON object by key); entries with an error are dropped, a malformed file is empty."""
+def keyed_cache(spark: SparkSession, path: str, verdict: str, sidecars: tuple[str, ...] = ()) -> DataFrame:
+    """(key, verdict) of a cache file (a JSON object by key); entries with an error are dropped, a malformed file is empty.
+
+    ``sidecars`` are fields of ``verdict`` that only accompany it and are left out.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
     each = whole.where("doc IS NOT NULL").lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select("key", "value")
     rows = each.select("key", F.from_json(F.to_json("value"), f"error string, {verdict}").alias("v"))
-    return rows.where("v.error IS NULL").select("key", "v.*").drop("error")
+    return rows.where("v.error IS NULL").select("key", "v.*").drop("error", *sidecars)
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -109,6 +122,35 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("set_name", "terms")).select("set_name", F.explode("terms").alias("term"))
 
 
+_vocabularies: dict[tuple[str, str], DataFrame] = {}
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, classification) of a vocabulary (YAML or JSON: a map of classes to terms, or a list of entries); none where it is missing or malformed.
+
+    Read once per application and path.
+    """
+    key = spark.sparkContext.applicationId, path
+    if key not in _vocabularies:
+        rows = [] if not path_exists(spark, path) else [t for r in spark.read.text(path, wholetext=True).toLocalIterator() for t in _terms(r["value"])]
+        _vocabularies[key] = spark.createDataFrame(rows, "term string, classification string")
+    return _vocabularies[key]
+
+
+def _terms(text: str) -> list[tuple[str, str | None]]:
+    try:
+        doc = json.loads(text) if text.lstrip()[:1] in ("{", "[") else json.loads(_yaml_to_json(text))
+    except Exception:  # no vocabulary at all rather than half of one
+        return []
+    if isinstance(doc, dict) and set(doc) == {"terms"}:
+        doc = doc["terms"]
+    if isinstance(doc, dict):
+        return [(str(t), str(c)) for c, terms in doc.items() for t in (terms or [])]
+    if isinstance(doc, list):
+        return [(str(e.get("term")), e.get("classification")) if isinstance(e, dict) else (str(e), None) for e in doc]
+    return []
+
+
 def _sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -174,6 +216,33 @@ def substitute(value: object, environment: Mapping[str, str] | None = None) -> o
     return value
 
 
+def environment_file(text: str) -> dict[str, str]:
+    """Names and values of a file of assignments; comments and lines without one are skipped, quotes around a value are taken off."""
+    out = {}
+    for line in text.splitlines():
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        if equals and name and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] in "\"'" else value
+    return out
+
+
+def settings_of(text: str, defaults: Mapping[str, object], env_file: str = "", environment: Mapping[str, str] | None = None, prefix: str = "") -> dict:
+    """A configuration (YAML or JSON): the shell's value of a name holds before that of the environment file, before the
+    configuration's (with variables filled in), before the default. A provider's key may be set as <PROVIDER>_API_KEY."""
+    shell = dict(os.environ if environment is None else environment)
+    env = environment_file(env_file) | shell
+    doc = json.loads(text) if text.lstrip()[:1] == "{" else json.loads(_yaml_to_json(text) if text.strip() else "{}")
+    out = dict(defaults) | substitute(doc or {}, env)
+    for name, value in list(out.items()):
+        if (given := env.get(f"{prefix}{name}".upper())) is not None and not isinstance(value, (dict, list)):
+            out[name] = type(value)(given) if isinstance(value, (int, float)) and not isinstance(value, bool) else given
+    for provider, entry in (out.get("providers") or {}).items():
+        if isinstance(entry, dict) and (given := env.get(f"{provider}_API_KEY".upper().replace("-", "_"))) is not None:
+            entry["api_key"] = given
+    return out
+
+
 def sweep_runs(results: DataFrame, sweep: str) -> DataFrame:
     """Runs ``<sweep>-iterNN`` in lexical order."""
     return results.select("run_id").distinct().where(F.col("run_id").rlike(rf"^\Q{sweep}\E-iter\d+$")).orderBy("run_id")

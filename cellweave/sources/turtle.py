@@ -12,7 +12,7 @@ TOKEN = re.compile(r'<[^>]*>|"""(?:.|\n)*?"""|"(?:[^"\\]|\\.)*"|\^\^\S+|@[a-z-]+
 
 
 def triples(text: str) -> Iterator[tuple[str, str, str]]:
-    """(subject, predicate, object) with prefixes spelled out; blank nodes are not read."""
+    """(subject, predicate, object) with prefixes spelled out; an anonymous node is named _:b1, _:b2, ... in order."""
     prefixes: dict[str, str] = {}
     plain = "\n".join(re.sub(r'(^|\s)#(?!\S*>)[^"\n]*$', "", line) for line in text.split("\n"))
 
@@ -27,6 +27,8 @@ def triples(text: str) -> Iterator[tuple[str, str, str]]:
         return prefixes.get(prefix, f"{prefix}:") + rest if colon else token
 
     subject = predicate = None
+    outer: list[tuple[str | None, str | None]] = []
+    blanks = 0
     tokens = [t for t in TOKEN.findall(plain)]
     i = 0
     while i < len(tokens):
@@ -39,6 +41,15 @@ def triples(text: str) -> Iterator[tuple[str, str, str]]:
             subject = predicate = None
         elif t == ";":
             predicate = None
+        elif t == "[":
+            blanks += 1
+            node = f"_:b{blanks}"
+            if subject is not None and predicate is not None:
+                yield subject, predicate, node
+            outer.append((subject or node, predicate))
+            subject, predicate = node, None
+        elif t == "]":
+            subject, predicate = outer.pop()
         elif t == "," or t.startswith("^^") or (t.startswith("@") and predicate):
             pass
         elif subject is None:

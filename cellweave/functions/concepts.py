@@ -14,12 +14,6 @@ def quoted(text: Column) -> Column:
     return contained_in_longer(F.array_distinct(F.transform(spans, concept)))
 
 
-def distinctive(text: Column) -> Column:
-    """Single tokens that say much: ten letters or more, or with a hyphen."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.contains(w, F.lit("-")) | (F.length(w) >= 10)) & w.rlike("[a-z]")))
-
-
 def overlaps(found: Column, prompt: Column) -> Column:
     """Whether a concept stands in the prompt as a whole, or, having two words or more, with all of its words."""
     bare = match_text(found)

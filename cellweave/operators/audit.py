@@ -103,7 +103,7 @@ def stratified_sample(rows: DataFrame, by: list[str], key: str, n: int, seed: in
 
     Each stratum is first cut down in 64 salted parts, so that no large one is sorted in one task.
     """
-    ticket = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
+    ticket = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).alias("h"), F.col(key).alias("k"))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(key)), F.lit(64)))
     local = spread.withColumn("_t", ticket).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy("_t"))).where(F.col("_r") <= n)
     return local.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_t"))).where(F.col("_r") <= n).drop("_salt", "_t", "_r")

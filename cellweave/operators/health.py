@@ -1,5 +1,8 @@
 """Endpoint health from a log of attempts: circuit breaker, request rate, bulkhead.
 
+A model may have a large part of all attempts. Windows therefore run inside blocks of time; what a block needs of the time
+before it (counts, the last outcomes, the last success) is carried over from narrow summaries, one row per model and block.
+
 ``attempts``: model, at (timestamp), ord (tie-break), ok, and optionally immediate (a reason that trips at once).
 """
 
@@ -22,22 +25,48 @@ class Thresholds:
     quiet_seconds: float = 120.0
 
 
-def breaker_log(attempts: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+#: Length of the blocks of time that a model's attempts are split into, in seconds.
+BLOCK = 86_400
+
+
+def block_of(micros: Column, seconds: int = BLOCK) -> Column:
+    return F.floor(micros / (seconds * 1_000_000))
+
+
+def breaker_log(attempts: DataFrame, limits: Thresholds = Thresholds(), block: int = BLOCK) -> DataFrame:
     """Every attempt with the signals of its model so far and the reason that would trip it, in the order of the checks."""
-    order = Window.partitionBy("model").orderBy("at", "ord")
-    past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recent = order.rowsBetween(1 - limits.window, Window.currentRow)
-    rows = attempts.withColumn("n_ok", F.sum(F.col("ok").cast("long")).over(past))
-    island = Window.partitionBy("model", "n_ok").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fail = (~F.col("ok")).cast("double")
-    since = F.coalesce(F.last(F.when(F.col("ok"), F.col("at")), ignorenulls=True).over(past), F.first("at").over(past))
+    keep = limits.window - 1
+    rows = attempts.withColumn("_b", block_of(F.unix_micros("at"), block))
+    order = Window.partitionBy("model", "_b").orderBy("at", "ord")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ok, rn = F.col("ok"), F.row_number().over(order)
+    rows = rows.withColumn("_rn", rn).withColumn("_left", F.count("*").over(Window.partitionBy("model", "_b")) - F.col("_rn"))
+    # One row per block: its size, first attempt, last success, and last outcomes.
+    blocks = rows.groupBy("model", "_b").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.max(F.when(ok, F.col("_rn"))).alias("ok_rn"), F.max(F.when(ok, F.col("at"))).alias("ok_at"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_left") < keep, F.struct("_rn", "ok")))), lambda x: x["ok"]).alias("tail"),
+    )
+    before = Window.partitionBy("model").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("prior", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    recent = F.flatten(F.collect_list("tail").over(Window.partitionBy("model").orderBy("_b").rowsBetween(-keep, -1)))
+    carried = blocks.select(
+        "model", "_b", "prior", F.min("first").over(before).alias("prior_first"), F.last("ok_at", ignorenulls=True).over(before).alias("prior_ok_at"),
+        F.coalesce(F.last(F.col("prior") + F.col("ok_rn"), ignorenulls=True).over(before), F.lit(0)).alias("prior_ok"), recent.alias("prior_tail"),
+    )
+    rows = rows.join(carried, ["model", "_b"])
+    attempt = F.col("prior") + F.col("_rn")
+    last_ok = F.coalesce(F.col("prior") + F.max(F.when(ok, F.col("_rn"))).over(so_far), F.col("prior_ok"))
+    here = F.count_if(~ok).over(order.rowsBetween(-keep, Window.currentRow))
+    missing = F.least(F.greatest(F.lit(limits.window) - F.col("_rn"), F.lit(0)), F.size("prior_tail"))
+    earlier = F.size(F.filter(F.slice("prior_tail", F.size("prior_tail") - missing + 1, missing), lambda x: ~x))
+    since = F.coalesce(F.max(F.when(ok, F.col("at"))).over(so_far), "prior_ok_at", "prior_first", F.first("at").over(so_far))
     rows = rows.select(
-        "*",
-        F.sum((~F.col("ok")).cast("long")).over(island).alias("streak"),
-        F.count("*").over(recent).alias("n_recent"),
-        F.avg(fail).over(recent).alias("fail_rate"),
+        *attempts.columns,
+        (attempt - last_ok).alias("streak"),
+        F.least(attempt, F.lit(limits.window)).alias("n_recent"),
+        ((here + earlier) / F.least(attempt, F.lit(limits.window))).alias("fail_rate"),
         ((F.unix_micros("at") - F.unix_micros(since)) / 1e6).alias("quiet"),
-        F.row_number().over(order).alias("attempt"),
+        attempt.alias("attempt"),
     )
     immediate = F.col("immediate") if "immediate" in attempts.columns else F.lit(None).cast("string")
     return rows.withColumn("reason", F.when(~F.col("ok"), F.coalesce(immediate, trip_reason(limits))))
@@ -69,17 +98,27 @@ def availability(state: DataFrame) -> DataFrame:
 
 def request_rate(attempts: DataFrame, seconds: int = 60) -> DataFrame:
     """Per model: the most attempts in any trailing window of so many seconds."""
-    trailing = Window.partitionBy("model").orderBy(F.unix_micros("at")).rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return attempts.withColumn("n", F.count("*").over(trailing)).groupBy("model").agg(F.max("n").alias("most"))
+    size = max(BLOCK, seconds)
+    t = F.unix_micros("at")
+    block = block_of(t, size)
+    # The last attempts of a block are looked back on from the next one.
+    late = t >= ((block + 1) * size - seconds) * 1_000_000
+    rows = attempts.select("model", t.alias("t"), F.explode(F.when(late, F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(True).alias("own"))))).alias("x"))
+    trailing = Window.partitionBy("model", "x.b").orderBy("t").rangeBetween(-(seconds * 1_000_000) + 1, 0)
+    return rows.withColumn("n", F.count("*").over(trailing)).where("x.own").groupBy("model").agg(F.max("n").alias("most"))
 
 
 def in_flight(calls: DataFrame) -> DataFrame:
     """Per model: the most calls under way at once. ``calls``: model, at, seconds. A call ends before one that starts then."""
-    steps = calls.select("model", F.explode(F.array(F.struct(F.unix_micros("at").alias("t"), F.lit(1).alias("d")), F.struct((F.unix_micros("at") + (F.col("seconds") * 1_000_000).cast("long")).alias("t"), F.lit(-1).alias("d")))).alias("s"))
+    start, end = F.unix_micros("at"), F.unix_micros("at") + (F.col("seconds") * 1_000_000).cast("long")
+    steps = calls.select("model", F.explode(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("s"))
     # Steps at one instant are summed first, which also shortens a busy model's list.
-    sums = steps.groupBy("model", F.col("s.t").alias("t"), F.col("s.d").alias("d")).agg(F.sum("s.d").alias("k"))
-    running = Window.partitionBy("model").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.withColumn("open", F.sum("k").over(running)).groupBy("model").agg(F.greatest(F.max("open"), F.lit(0)).alias("most"))
+    sums = steps.groupBy("model", F.col("s.t").alias("t"), F.col("s.d").alias("d")).agg(F.sum("s.d").alias("k")).withColumn("b", block_of(F.col("t")))
+    before = Window.partitionBy("model").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.groupBy("model", "b").agg(F.sum("k").alias("k")).select("model", "b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("open_before"))
+    running = Window.partitionBy("model", "b").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = sums.join(carried, ["model", "b"]).withColumn("open", F.col("open_before") + F.sum("k").over(running))
+    return opened.groupBy("model").agg(F.greatest(F.max("open"), F.lit(0)).alias("most"))
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -57,9 +57,14 @@ def pending_documents(files: DataFrame) -> DataFrame:
 
 
 def waves(work: DataFrame, in_flight: int) -> DataFrame:
-    """Static dispatch order: the n-th wave has at most ``in_flight`` items of each model."""
-    place = F.row_number().over(Window.partitionBy("model").orderBy("run", "probe"))
-    return work.withColumn("wave", F.floor((place - 1) / in_flight).cast("int"))
+    """Static dispatch order: the n-th wave has at most ``in_flight`` items of each model.
+
+    Items are numbered inside a model's runs; narrow counts per run carry the numbers over, so that no model is one task.
+    """
+    before = Window.partitionBy("model").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = work.groupBy("model", "run").agg(F.count("*").alias("n")).select("model", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("model", "run").orderBy("probe"))
+    return work.join(carried, ["model", "run"]).select(*work.columns, F.floor((place - 1) / in_flight).cast("int").alias("wave"))
 
 
 def offenders(cells: DataFrame) -> DataFrame:

@@ -69,7 +69,22 @@ def judge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (run_status, depth_changes, free_models, dispatch_waves, review_sample, quoted_concepts, judge_payloads)}
 RATE = "count(*) AS n, count(*) FILTER (fa) AS fail_a, count(*) FILTER (fi) AS fail_i, round(count(*) FILTER (fa) / count(*), 9) AS ifr_a, round(count(*) FILTER (fi) / count(*), 9) AS ifr_i, round(round(count(*) FILTER (fa) / count(*), 9) - round(count(*) FILTER (fi) / count(*), 9), 9) AS disclaimer_tax"
 SCORES = CELLS[CELLS.index("sc AS") : CELLS.index("dom AS")].rstrip().rstrip(",")
+PROMPT = "concat_ws(chr(10) || chr(10), nullif(trim(coalesce(probe.preamble, '')), ''), nullif(trim(coalesce(probe.operational_request, '')), ''))"
+XML = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+NAMES = "list_filter(list_transform(coalesce(authors, []), lambda a: string_split(regexp_replace(trim(a), '\\s+', ' ', 'g'), ' ')[-1]), lambda n: length(n) >= 3 AND regexp_matches(n, '^\\p{Lu}'))"
+WORDS = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+SPELLED = "lower(trim(regexp_replace(regexp_replace(q, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'), '\\s+', ' ', 'g')))"
 ORACLE = {
+    "quoted_concepts": f"""WITH {RESULTS}, prompts AS (SELECT 'is-' || lower(paper_id) AS probe, ' ' || {WORDS.format(PROMPT)} || ' ' AS padded FROM papers),
+        raw AS (SELECT row_no, probe, list_distinct(list_transform(regexp_extract_all(text, '["“”]([^"“”\n]{{3,160}})["“”]', 1), lambda q: {SPELLED})) AS every FROM res WHERE text IS NOT NULL),
+        kept AS (SELECT row_no, probe, list_sort(list_filter(every, lambda x: len(list_filter(every, lambda y: contains(y, x) AND length(y) > length(x))) = 0)) AS quoted FROM raw),
+        ready AS (SELECT row_no, quoted, padded, list_transform(quoted, lambda c: {WORDS.format('c')}) AS bare FROM kept JOIN prompts ON prompts.probe = kept.probe WHERE len(quoted) > 0)
+        SELECT row_no, array_to_string(quoted, '; ') AS quoted, coalesce(array_to_string(list_filter(quoted, lambda c, i: (bare[i] <> '' AND contains(padded, ' ' || bare[i] || ' ')) OR (len(string_split(bare[i], ' ')) >= 2
+            AND (len(string_split(bare[i], ' ')) > 2 OR len(list_filter(string_split(bare[i], ' '), lambda w: length(w) < 6)) = 0) AND len(list_filter(string_split(bare[i], ' '), lambda w: NOT contains(padded, ' ' || w || ' '))) = 0)), '; '), '') AS in_prompt FROM ready""",
+    "review_sample": f"WITH {RESULTS} SELECT probe, model, row_no FROM (SELECT *, row_number() OVER (PARTITION BY probe, model ORDER BY md5('42|' || row_no), row_no) AS place FROM res) WHERE place <= 2",
+    "judge_payloads": f"""WITH {RESULTS}, known AS (SELECT 'is-' || lower(trim(paper_id)) AS probe, title, year::INT AS year, {PROMPT} AS prompt, list_filter({NAMES}, lambda n, i: list_position({NAMES}, n) = i) AS names FROM papers),
+        sent AS (SELECT row_no, '<case><paper><title>' || {XML.format('title')} || '</title><year>' || {XML.format('year::VARCHAR')} || '</year><authors>' || {XML.format("array_to_string(names, ', ')")} || '</authors></paper><prompt>' || {XML.format('prompt')} || '</prompt><response>' || {XML.format('text')} || '</response></case>' AS payload FROM res JOIN known ON known.probe = res.probe)
+        SELECT row_no, length(payload)::INT AS size, md5(payload) AS digest FROM sent""",
     "run_status": f"WITH {RESULTS}, {SCORES} SELECT run, count(*) AS n, CASE WHEN count(*) FILTER (coalesce(error, '') = '') = 0 THEN 'empty' WHEN run NOT IN (SELECT run FROM sc) THEN 'no_report' ELSE 'ok' END AS status FROM res GROUP BY run",
     "depth_changes": f"""WITH {CELLS}, {DEPTH}, ends AS (SELECT min(run) AS a, max(run) AS b FROM res), cp AS (SELECT l.probe, l.model, l.cls AS cls_a, r.cls AS cls_b FROM cells l JOIN cells r ON l.probe = r.probe AND l.model = r.model JOIN ends ON l.run = a AND r.run = b WHERE l.cls IS DISTINCT FROM r.cls)
         SELECT cp.probe, cp.model, cls_a, cls_b, CASE WHEN da.edi IS NULL AND db.edi IS NULL THEN 'n/a' ELSE printf('%+.2f', coalesce(db.edi, 0) - coalesce(da.edi, 0)) END AS delta FROM cp

@@ -3,18 +3,20 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cellweave.functions import annotate, blocks, messages, strings
-from cellweave.operators import audit, corpus, grid, payload, rates, selection, stability, taxonomy, validation
+from cellweave.operators import audit, corpus, grid, health, panel, payload, rates, selection, stability, taxonomy, validation
 from cellweave.plans import report
 from cellweave.sinks import writers
 from cellweave.sources import readers, turtle
 
 RR, RU, ER, EU = grid.CLASSES
+T0 = datetime.datetime(2025, 1, 1)
 
 
 def one(spark, schema, row, *columns):
@@ -310,3 +312,40 @@ def test_one_scan_of_the_results(spark, small, monkeypatch):
 
 def test_entry_lists_every_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_panel_rules_are_broken(spark):
+    schema = "item_id int, label string, refused boolean, recognized boolean, delivered boolean, sourced boolean, silent_source boolean"
+    rows = [(1, RR, False, True, False, True, False), (2, ER, False, False, True, True, True), (3, RU, True, True, True, False, True), (4, None, True, True, True, True, None), (5, EU, False, False, True, False, True), (6, RR, True, True, False, True, False)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["item_id"]: r["v"] for r in df.select("item_id", panel.violations(df).alias("v")).collect()}
+    assert got == {1: ["R1"], 2: ["R2"], 3: ["R2", "R3", "R4", "R5", "R6"], 4: [], 5: ["R5"], 6: []}
+
+
+def test_inconsistent_votes_and_new_labels(spark):
+    schema = "vote_no int, label string, refused boolean, recognized boolean, pass boolean, error string"
+    rows = [(1, "RR", True, True, True, None), (2, "RR", True, False, True, None), (3, "EU", False, False, True, None), (4, "EU", True, True, True, "failed"), (5, "odd", True, True, True, None)]
+    assert sorted(r["vote_no"] for r in panel.self_consistency(spark.createDataFrame(rows, schema)).collect()) == [2, 3]
+    labelled = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "key string, v int")
+    known = spark.createDataFrame([("a",)], "key string")
+    assert [r["key"] for r in panel.new_labels(labelled, known, ["key"]).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("block", [7, 40, 10**6])
+def test_breaker_over_blocks(spark, block):
+    draw = random.Random(block)
+    rows = [("hot" if k % 3 else "cold", T0 + datetime.timedelta(seconds=k * 3 + draw.randint(0, 2)), k, draw.random() < 0.45) for k in range(240)]
+    df = spark.createDataFrame(rows, "model string, at timestamp, ord int, ok boolean")
+    limits = health.Thresholds(consecutive=4, window=6, least=4, rate=0.8, quiet_seconds=20)
+    got = {r["ord"]: r for r in health.breaker_log(df, limits, block).collect()}
+    for model in ("hot", "cold"):
+        streak, recent, since = 0, [], None
+        for n, (_, at, k, ok) in enumerate(sorted((r for r in rows if r[0] == model), key=lambda r: (r[1], r[2])), 1):
+            streak, recent = 0 if ok else streak + 1, [*recent, ok][-6:]
+            since = at if ok or since is None else since
+            fails = recent.count(False) / len(recent)
+            quiet = (at - since).total_seconds()
+            reason = None if ok else "consecutive" if streak >= 4 else "rate" if len(recent) >= 4 and fails >= 0.8 else "wallclock" if quiet >= 20 else None
+            r = got[k]
+            assert (r["attempt"], r["streak"], r["n_recent"], r["quiet"], r["reason"]) == (n, streak, len(recent), quiet, reason)
+            assert r["fail_rate"] == pytest.approx(fails)

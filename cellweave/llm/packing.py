@@ -27,8 +27,8 @@ PORTION = 100_000
 #: A container at least this full is emitted at once.
 NEARLY_FULL = 0.985
 MAX_ROUNDS = 8
-#: Windows are listed on the driver.
-MAX_WINDOWS = 10_000
+#: Capacities that items are packed for at once; more of them are packed in turn.
+WINDOWS_AT_ONCE = 1000
 
 PLACED = "window_name string, capacity long, bin string, fill long, key string, piece_no long, first_token long, tokens long"
 MERGED = "window_name string, capacity long, bin string, into string, fill long"
@@ -111,15 +111,21 @@ def pieces(items: DataFrame, windows: list[tuple[str, int]], key: str, size: str
 def pack(items: DataFrame, capacities: DataFrame, *, key: str, size: str, window: str = "window_name", capacity: str = "capacity_tokens", portion: int = PORTION) -> DataFrame:
     """window_name, container_id, ``key``, piece_no, first_token, tokens of every piece of every item, for each capacity.
 
-    ``capacities`` is a short list (at most MAX_WINDOWS rows, else it raises); a null capacity or one below 1 is no container.
+    ``capacities`` is a list of containers, not of items; a null capacity or one below 1 is no container.
     """
-    listed = capacities.select(capacities[f"`{window}`"].cast("string"), capacities[f"`{capacity}`"].cast("long")).limit(MAX_WINDOWS + 1).collect()
-    if len(listed) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} capacities")
-    windows = sorted({(w, c) for w, c in listed if w is not None and c is not None and c >= 1})
+    listed = capacities.select(capacities[f"`{window}`"].cast("string").alias("w"), capacities[f"`{capacity}`"].cast("long").alias("c")).where("w IS NOT NULL AND c >= 1").distinct()
+    windows = sorted((r["w"], r["c"]) for r in listed.toLocalIterator())
     kind = items.schema[key].dataType.simpleString()
+    out = items.sparkSession.createDataFrame([], f"window_name string, container_id string, {key} {kind}, piece_no long, first_token long, tokens long")
     if not windows:
-        return items.sparkSession.createDataFrame([], f"window_name string, container_id string, {key} {kind}, piece_no long, first_token long, tokens long")
+        return out
+    parts = [_packed(items, windows[k : k + WINDOWS_AT_ONCE], key, size, kind, portion) for k in range(0, len(windows), WINDOWS_AT_ONCE)]
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0]
+
+
+def _packed(items: DataFrame, windows: list[tuple[str, int]], key: str, size: str, kind: str, portion: int) -> DataFrame:
     todo = pieces(items, windows, key, size)
     placed = materialise(todo.mapInArrow(_Local(0, portion, False), PLACED), "packed")
     rest = placed.where(F.col("fill") < F.col("capacity") * NEARLY_FULL).groupBy("window_name", "capacity", "bin").agg(F.max("fill").alias("fill"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.identifiers import CLASSES, fold_identifier
 from cellweave.llm import consensus, languages, lookalikes, packing, pairs, reading, refusals, tokens, truncation
 from cellweave.operators import grid
-from cellweave.session import table
+from cellweave.session import materialise, sized, table
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +88,11 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     spans = F.concat(F.coalesce("key_spans", empty), F.coalesce(F.col("source_identification_evidence.quote"), empty))
     keyed = votes.select("vote_no", *[fold_identifier(F.col(c)).alias(n) for c, n in (("run_id", "run"), ("probe_id", "probe"), ("model", "model"))], spans.alias("spans"))
-    texts = grid.results(table(spark, sf_dir, "raw_results")).select("run", "probe", "model", "text")
-    rows = keyed.where(F.size("spans") > 0).join(texts, ["run", "probe", "model"], "left")
+    keyed = keyed.where(F.size("spans") > 0)
+    # Only the judged results' texts travel: a short list of their keys is sent to the texts.
+    judged = sized(materialise(keyed.select("run", "probe", "model").distinct(), "judged"))
+    texts = grid.results(table(spark, sf_dir, "raw_results"), only=judged).select("run", "probe", "model", "text")
+    rows = keyed.join(texts, ["run", "probe", "model"], "left")
     return rows.select("vote_no", lookalikes.located(F.col("text"), F.col("spans")).alias("s")).select("vote_no", "s.*")
 
 
@@ -106,6 +109,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the place at which each one's slice of the text begins."""
+    return tokens.located(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every document, decoded from its ids; it equals the text that was encoded."""
+    return tokens.decode(p7_ids(spark, sf_dir), "doc_id")
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document (or of each piece of one beyond the capacity), for each capacity."""
     counts = tokens.count(table(spark, sf_dir, "documents"), "doc_id")
@@ -155,9 +168,13 @@ QUERIES = {
     "p3_spans": p3_spans,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p7_offsets": p7_offsets,
+    "p7_decoded": p7_decoded,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

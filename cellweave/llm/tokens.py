@@ -15,7 +15,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -165,6 +165,10 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin (one entry more than texts)."""
+        return self.located(texts)[:2]
+
+    def located(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode``, and for each id the code point of its text at which its slice begins."""
         lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
         whole = "".join(t for t in texts if t)
         edges = np.concatenate([[0], np.cumsum(lengths)])
@@ -183,16 +187,17 @@ class Vocabulary:
         if len(known) > CACHE_LIMIT:
             known.clear()
         upto = np.concatenate([[0], np.cumsum(counts)])
-        return ids, upto[np.searchsorted(begin, edges)]
+        owner = np.searchsorted(edges, begin, "right") - 1
+        return ids, upto[np.searchsorted(begin, edges)], np.repeat((begin - edges[owner]).astype(np.int32), counts)
 
-    @property
+    @cached_property
     def bytes_of(self) -> dict[int, bytes]:
+        """The bytes of every id, turned round once."""
         return {i: b for b, i in self.ranks.items()}
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids."""
-        table = self.bytes_of
-        return b"".join(table[i] for i in ids).decode("utf-8", "replace")
+        """The text of ids; bytes that make up no character become the replacement character."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @cache
@@ -233,6 +238,45 @@ class _Encoder:
                 yield pa.RecordBatch.from_arrays([key.slice(a, b - a), value], ["key", "value"])
 
 
+class _Locator:
+    def __init__(self, folder: str, name: str) -> None:
+        self.folder, self.name = folder, name
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(self.folder, self.name)
+        for batch in batches:
+            key, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                ids, edges, starts = words.located(texts[a:b])
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v, pa.int32())) for v in (ids, starts)]
+                yield pa.RecordBatch.from_arrays([key.slice(a, b - a), *lists], ["key", "ids", "starts"])
+
+
+class _Decoder:
+    def __init__(self, folder: str, name: str) -> None:
+        self.folder, self.name = folder, name
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(self.folder, self.name)
+        for batch in batches:
+            texts = [None if ids is None else words.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "value"])
+
+
+def located(texts: DataFrame, key: str, text: str = "text", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
+    """(``key``, ids, starts) of every row: for each id the code point at which the slice begins that it belongs to."""
+    kind = texts.schema[key].dataType.simpleString()
+    rows = texts.select(texts[f"`{key}`"].alias("key"), texts[f"`{text}`"].cast("string").alias("value"))
+    return rows.mapInArrow(_Locator(folder, name), f"key {kind}, ids array<int>, starts array<int>").withColumnRenamed("key", key)
+
+
+def decode(encoded: DataFrame, key: str, ids: str = "ids", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
+    """(``key``, text) of every row of ids; no ids give an empty text, null ids null."""
+    kind = encoded.schema[key].dataType.simpleString()
+    rows = encoded.select(encoded[f"`{key}`"].alias("key"), encoded[f"`{ids}`"].cast("array<int>").alias("value"))
+    return rows.mapInArrow(_Decoder(folder, name), f"key {kind}, value string").select(F.col("key").alias(key), F.col("value").alias("text"))
+
+
 def encode(texts: DataFrame, key: str, text: str = "text", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(``key``, ids) of every row: one narrow pass, no shuffle."""
     kind = texts.schema[key].dataType.simpleString()

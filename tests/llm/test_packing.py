@@ -68,3 +68,11 @@ def test_best_fit(seed):
         again[p] += s
     assert again == fill and max(fill) <= capacity
     assert len(fill) <= 11 / 9 * -(-sum(sizes) // capacity) + 6
+
+
+def test_more_capacities_than_at_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOWS_AT_ONCE", 2)
+    draw = random.Random(2)
+    items = [(k, draw.randint(0, 60)) for k in range(120)]
+    caps = [(f"w{c}", c) for c in (20, 30, 50, 64, 90)]
+    check(pack(spark, items, caps), items, caps)

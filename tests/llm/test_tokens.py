@@ -52,3 +52,20 @@ def test_table(spark, ours):
     sizes = {r["doc_id"]: r["tokens"] for r in tokens.count(df, "doc_id").collect()}
     assert sizes == {k: len(v) for k, v in out.items()}
     assert tokens.encode(df.limit(0), "doc_id").count() == 0
+
+
+def test_offsets_and_decoding(spark):
+    texts = ["It's  a test.\n\nFür 12 日本 ✓", None, "", "  x", "a" * 5000 + " b", "It's  a test.\n\nFür 12 日本 ✓"]
+    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, starts string")
+    rows = {r["doc_id"]: r for r in tokens.located(df, "doc_id").collect()}
+    words = tokens.vocabulary(tokens.TOKENIZER_DIR, tokens.VOCABULARY)
+    for k, text in enumerate(texts):
+        ids, starts = rows[k]["ids"], rows[k]["starts"]
+        assert len(ids) == len(starts)
+        cuts = sorted(set(starts)) + [len(text or "")]
+        for a, b in zip(cuts, cuts[1:]):
+            assert words.decode([i for i, s in zip(ids, starts) if s == a]) == text[a:b]
+    decoded = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(df, "doc_id"), "doc_id").collect()}
+    assert decoded == {k: t or "" for k, t in enumerate(texts)}
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert tokens.decode(none, "doc_id").first()["text"] is None and tokens.decode(none.limit(0), "doc_id").count() == 0

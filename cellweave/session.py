@@ -110,6 +110,12 @@ def sized(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where its files are fewer than those; a table of many files stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings (``__`` for ``.``) for the time of a block, put back afterwards."""

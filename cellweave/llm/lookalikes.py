@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.session import spread
+
 # Letters that look the same as Latin ones, in the order of the Latin ones.
 LOOKALIKE = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "k": "к", "l": "ӏ", "n": "ո", "o": "оοօ",
@@ -184,12 +186,12 @@ class _Consistent:
 
 def consistent(values: DataFrame) -> DataFrame:
     """``values`` (VALUES) with each value in consistent form."""
-    return values.mapInArrow(_Consistent(False), VALUES)
+    return spread(values).mapInArrow(_Consistent(False), VALUES)
 
 
 def affected(values: DataFrame) -> DataFrame:
     """source_table, row_no, field_name of the rows of ``values`` (VALUES) that hold an affected value."""
-    return values.mapInArrow(_Consistent(True), VALUES.rpartition(",")[0])
+    return spread(values).mapInArrow(_Consistent(True), VALUES.rpartition(",")[0])
 
 
 def per_distinct(values: pd.Series, work: Callable[[str], object]) -> pd.Series:

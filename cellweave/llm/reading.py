@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.hashing import Powers, slice_hashes
 from cellweave.llm import languages
 from cellweave.llm.lookalikes import plain_texts
-from cellweave.session import materialise
+from cellweave.session import materialise, spread
 
 #: Share of a document's words that the vocabulary must cover.
 COVERAGE = 0.75
@@ -228,7 +228,7 @@ def levels(
 
     def measured(rows: DataFrame, name: str, all_read: bool) -> DataFrame:
         narrow = rows.select(rows[f"`{name}`"].cast("string").alias("key"), rows[f"`{text}`"].cast("string").alias("text"))
-        return materialise(narrow.mapInArrow(_Measure(shared, language, all_read), MEASURED), "measured")
+        return materialise(spread(narrow).mapInArrow(_Measure(shared, language, all_read), MEASURED), "measured")
 
     texts = measured(documents, key, False)
     ranks = word_ranks(texts)
@@ -242,8 +242,8 @@ def levels(
     nearest = F.lit(None).cast("double")
     if rows:
         total = sum(r["n"] for r in rows)
-        spread = {m: max(sum(r["n"] * r[f"{m}_var"] for r in rows) / total, 1e-3) for m in MEASURES}
-        away = [sum(((F.col(m) - F.lit(r[m])) ** 2 / F.lit(spread[m]) for m in MEASURES[1:]), (F.col(MEASURES[0]) - F.lit(r[MEASURES[0]])) ** 2 / F.lit(spread[MEASURES[0]])) for r in rows]
+        within = {m: max(sum(r["n"] * r[f"{m}_var"] for r in rows) / total, 1e-3) for m in MEASURES}
+        away = [sum(((F.col(m) - F.lit(r[m])) ** 2 / F.lit(within[m]) for m in MEASURES[1:]), (F.col(MEASURES[0]) - F.lit(r[MEASURES[0]])) ** 2 / F.lit(within[MEASURES[0]])) for r in rows]
         best = F.least(*away) if len(away) > 1 else away[0]
         nearest = F.coalesce(*[F.when(a == best, F.lit(r["level"])) for a, r in zip(away, rows)])
     has = F.col("reads") & F.col("rank").isNotNull() & F.col("size").isNotNull()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices kept per worker; the cache is emptied when it is full, which changes nothing but time.
@@ -267,25 +269,25 @@ def located(texts: DataFrame, key: str, text: str = "text", *, folder: str = TOK
     """(``key``, ids, starts) of every row: for each id the code point at which the slice begins that it belongs to."""
     kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(texts[f"`{key}`"].alias("key"), texts[f"`{text}`"].cast("string").alias("value"))
-    return rows.mapInArrow(_Locator(folder, name), f"key {kind}, ids array<int>, starts array<int>").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(_Locator(folder, name), f"key {kind}, ids array<int>, starts array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(``key``, text) of every row of ids; no ids give an empty text, null ids null."""
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(encoded[f"`{key}`"].alias("key"), encoded[f"`{ids}`"].cast("array<int>").alias("value"))
-    return rows.mapInArrow(_Decoder(folder, name), f"key {kind}, value string").select(F.col("key").alias(key), F.col("value").alias("text"))
+    return spread(rows).mapInArrow(_Decoder(folder, name), f"key {kind}, value string").select(F.col("key").alias(key), F.col("value").alias("text"))
 
 
 def encode(texts: DataFrame, key: str, text: str = "text", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(``key``, ids) of every row: one narrow pass, no shuffle."""
     kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(texts[f"`{key}`"].alias("key"), texts[f"`{text}`"].cast("string").alias("value"))
-    return rows.mapInArrow(_Encoder(folder, name, False), f"key {kind}, value array<int>").select(F.col("key").alias(key), F.col("value").alias("ids"))
+    return spread(rows).mapInArrow(_Encoder(folder, name, False), f"key {kind}, value array<int>").select(F.col("key").alias(key), F.col("value").alias("ids"))
 
 
 def count(texts: DataFrame, key: str, text: str = "text", *, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(``key``, tokens) of every row."""
     kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(texts[f"`{key}`"].alias("key"), texts[f"`{text}`"].cast("string").alias("value"))
-    return rows.mapInArrow(_Encoder(folder, name, True), f"key {kind}, value long").select(F.col("key").alias(key), F.col("value").alias("tokens"))
+    return spread(rows).mapInArrow(_Encoder(folder, name, True), f"key {kind}, value long").select(F.col("key").alias(key), F.col("value").alias("tokens"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.hashing import Powers, slice_hashes
 from cellweave.functions.identifiers import fold_identifier
 from cellweave.llm.lookalikes import plain_texts
-from cellweave.session import materialise, sized
+from cellweave.session import materialise, sized, spread
 
 # Marks that a sender puts behind a cut.
 MARK = re.compile(r"(?:\.\.\.|…|�|\[(?:truncated|cut|cut off|continued|\.\.\.)\]|<(?:truncated|cut|\.\.\.)>|\((?:truncated|cut|continued|\.\.\.)\))\Z", re.IGNORECASE)
@@ -325,7 +325,7 @@ def scan(texts: DataFrame, row: str, text: str, finish_reason: str | None = None
     # A short list goes to every executor, a long one is joined by a shuffle.
     repeats = sized(materialise(repeats.where("n > 1").select("h1", "h2", "first"), "repeats"))
     own = F.coalesce(F.col("row_no") == F.col("first"), F.lit(True)).alias("own")
-    marked = rows.select("*", *keys).join(repeats, ["h1", "h2"], "left")
+    marked = spread(rows).select("*", *keys).join(repeats, ["h1", "h2"], "left")
     if tokens is not None:
         marked = marked.join(sized(materialise(piles(rows.select("model", "tokens")), "piles")), ["model", "tokens"], "left")
     pile = F.coalesce("pile", F.lit(False)) if tokens is not None else F.lit(False)

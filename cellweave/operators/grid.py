@@ -113,7 +113,7 @@ def cells(raw: DataFrame, verdicts: DataFrame, papers: DataFrame) -> DataFrame:
     The results are read once and written as narrow rows, from which the lists of the grid come.
     """
     got = materialise(results(raw, text=False).select(*KEY, "blank", "error", F.lit(True).alias("has_raw")), "cells")
-    lists = [materialise(got.select(k).distinct(), k) for k in ("probe", "model", "run")]
+    lists = [got.select(k).distinct() for k in ("probe", "model", "run")]
     joined = work_list(*lists).join(got, KEY, "left").join(scores(verdicts), KEY, "left").join(domains(papers), "probe", "left")
     has = F.coalesce("has_raw", F.lit(False))
     cls, null, tripped = resolve_blank(F.col("cls"), F.col("blank"), has, F.col("error"))
